@@ -11,13 +11,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, quality_rules, secret_scan
+from . import decontamination, ngram_join, packing, quality_rules, secret_scan, token_store
+from .store import scratch
+from .tokenizer import public_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = scratch(spark, "token-store")
+    token_store.write(docs, path, public_path())
+    return token_store.lookup(spark, path, token_store.keys_of(docs)).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_path())
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crf = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -51,6 +64,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_id_output": op3_token_id_output,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
