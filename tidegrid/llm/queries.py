@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, packing, quality_rules, secret_scan, token_store
+from . import decontamination, lm_score, ngram_join, packing, quality_rules, secret_scan, token_store
 from .store import scratch
 from .tokenizer import public_path
 
@@ -39,6 +39,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return marked.select(
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_id_output": op3_token_id_output,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
 _own: dict[str, str] = {}
+#: Bytes of an Arrow batch to a worker, beyond which a row begins a new one.
+BATCH_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 
@@ -48,6 +50,7 @@ def prepare(spark: SparkSession, records: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > records:
         spark.conf.set(key, str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
