@@ -8,10 +8,12 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import quality_rules
+from tidegrid.llm import decontamination, ngram_join, packing, quality_rules, secret_scan
 from tidegrid.llm.queries import table
-from tidegrid.llm.store import scratch
+from tidegrid.llm.store import cut, scratch
+from tidegrid.llm.tokenizer import public_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +22,47 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.score(docs, crf).where("kept").select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest doc_id.
+
+    Rows that repeat a doc_id count as one document, the first by its text; rows
+    without a doc_id can't be told apart by id and stay.
+    """
+    found = cut(ngram_join.near_duplicates(docs), "groups")
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    few = dropped.count() <= ngram_join.BROADCAST_ROWS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("doc_id", "row.*").select(*docs.columns))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by a benchmark item."""
+    return decontamination.mark(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret; n_chars follows the text."""
+    out = secret_scan.scan(docs, secret_scan.fit(docs), redact="[SECRET]")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences."""
+    return packing.pack(docs, public_path())
+
+
 STAGES = [
     ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scans", secret_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: A fitted model decides in the stages, which SQL can't express.
