@@ -16,11 +16,12 @@ Steps, none of which gathers rows of one key without bound:
    fixed hash share of all shingles, then over all shingles of what is left);
    a class with too many of them can't link and drops out. Exact, no cap.
 3. PartEnum signatures of the classes left. A task sends each distinct signature
-   once, with its smallest class, so a hot signature is one row a task.
-4. Star rounds: within a signature, classes are compared with its smallest
-   class; what links is merged. Then every pair of classes that shares a
-   signature, is not yet merged and passes exact bounds (sizes, and the
-   distance of part histograms) is compared, so no link is lost.
+   once for each component, so a hot signature is a row a task or so.
+4. Star rounds: within a signature, classes are compared with the one that comes
+   first in an order that changes by round; what links is merged, and classes that
+   share no signature with another component are done. Then every pair of classes
+   that shares a signature, is not yet merged and passes exact bounds (sizes, and
+   the distance of part histograms) is compared, so no link is lost.
 5. Components of the verified links by alternating large and small stars.
 
 Defined results: null, empty or blank text has an empty set, n_shingles 0, and
@@ -38,14 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, prepare
+from .store import cut, prepare, release
 from .words import U64, Words, chunks, mix, rolling
 
 SIZE = 5
 #: Share of shingles, by hash, that the first pruning looks at.
-SHARE = 0.6
-N2, K2, SLACK = 5, 2, 1.2
-HIST = 64
+SHARE = 0.5
+N2, K2, SLACK = 3, 1, 1.2
+HIST, PARITY = 64, 2048
+#: Star rounds go on while a round links at least this share of the pairs it compares, ROUNDS at most.
+GAIN, ROUNDS = 0.02, 4
+DEBUG = False
 #: Shingles or signatures a task holds at once, and aimed at in a bucket.
 HELD = 2_000_000
 #: Rows of ids that are broadcast at most; a shuffled join serves beyond it.
@@ -86,6 +90,20 @@ def _sampled(s: np.ndarray, share: float) -> np.ndarray:
     return s if share >= 1 else s[(s & U64(0xFFFF)) < U64(int(share * 65536))]
 
 
+def _short(s: np.ndarray) -> bytes:
+    """A set as 48-bit values, 6 bytes each, ascending."""
+    low = np.unique(s >> U64(16)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw) -> np.ndarray:
+    """Ascending values of a set stored by _short."""
+    low = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :6] = low
+    return full.view("<u8")[:, 0]
+
+
 def _signed(x) -> np.ndarray:
     return np.asarray(x, U64).view(np.int64)
 
@@ -311,24 +329,37 @@ def _histogram(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(((s * U64(0xFF51AFD7ED558CCD)) >> U64(58)).astype(np.int64), minlength=HIST), 65535).astype("<u2")
 
 
-EXTRA = 16 + 2 * HIST  # component, size, histogram
+#: Bytes of a class beside its signatures: component and size; where pairs are judged, its sketches too.
+BRIEF, FULL = 16, 16 + 2 * HIST + PARITY // 8
+
+
+def _meta(comp: int, s: np.ndarray, sketched: bool) -> bytes:
+    brief = np.uint64(comp).tobytes() + np.int64(len(s)).tobytes()
+    return brief + _histogram(s).tobytes() + _parity(s).tobytes() if sketched else brief
 
 
-def _meta(comp: int, s: np.ndarray) -> bytes:
-    return np.uint64(comp).tobytes() + np.int64(len(s)).tobytes() + _histogram(s).tobytes()
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Bits: whether an odd number of shingles falls to a place. Two sets differ in no more bits than elements."""
+    return np.packbits(np.bincount(((s * U64(0xE7037ED1A0B428DB)) >> U64(53)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1)
 
 
-def _signature_rows(buckets: int, whole: bool):
-    """whole: send each class of a signature, else only the smallest of each component."""
+def _priority(sids: np.ndarray, turn: int) -> np.ndarray:
+    """Rank of classes in a round: another order each time, the same in every task."""
+    return np.argsort(np.argsort(mix(sids + U64(turn)), kind="stable"), kind="stable")
+
+
+def _signature_rows(buckets: int, whole: bool, turn: int, sketched: bool):
+    """whole: send each class of a signature, else only the first of each component in this round's order.
+    sketched: with the sketches that pairs are judged by."""
 
     def flush(held):
         sids = np.array([h[0] for h in held], U64)
         comp = np.array([h[1] for h in held], U64)
-        extra = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), EXTRA)
+        extra = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), FULL if sketched else BRIEF)
         items = np.concatenate([h[3] for h in held])
         owner = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
         if not whole:
-            rank = np.argsort(np.argsort(sids, kind="stable"), kind="stable")
+            rank = _priority(sids, turn)
             order = np.lexsort((rank[owner], comp[owner], items))
             items, owner = items[order], owner[order]
             c = comp[owner]
@@ -344,9 +375,9 @@ def _signature_rows(buckets: int, whole: bool):
                 if sid in seen:
                     continue
                 seen.add(sid)
-                s = np.frombuffer(blob, "<u8")
+                s = mix(_long(blob))
                 sig = np.unique(signatures(s))
-                held.append((sid & (2**64 - 1), comp & (2**64 - 1), _meta(comp & (2**64 - 1), s), sig))
+                held.append((sid & (2**64 - 1), comp & (2**64 - 1), _meta(comp & (2**64 - 1), s, sketched), sig))
                 size += len(sig)
                 if size > HELD:
                     yield from flush(held)
@@ -357,79 +388,109 @@ def _signature_rows(buckets: int, whole: bool):
     return lambda batches: _blob_batches(rows(batches))
 
 
-def _plausible(na, nb, ha, hb) -> np.ndarray:
-    """Exact bounds that linked sets keep: sizes, and the distance of histograms (below the Hamming distance)."""
+def _plausible(na, nb, a, b) -> np.ndarray:
+    """Exact bounds that linked sets keep: sizes, and distances of sketches, which never exceed the sets' own."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     ok = 4 * small >= 3 * large
+    if not a.shape[1]:
+        return ok
+    bound = (na + nb) // 7
+    cut_at = 2 * HIST
+    ok &= np.bitwise_count(np.ascontiguousarray(a[:, cut_at:] ^ b[:, cut_at:]).view(np.uint64)).sum(1, dtype=np.int64) <= bound
+    ha, hb = (np.ascontiguousarray(x[:, :cut_at]).view("<u2") for x in (a, b))
     full = (ha == 65535).any(1) | (hb == 65535).any(1)
-    far = np.abs(ha.astype(np.int32) - hb.astype(np.int32)).sum(1)
-    return ok & (full | (far <= (na + nb) // 7))
+    return ok & (full | (np.abs(ha.astype(np.int32) - hb.astype(np.int32)).sum(1) <= bound))
+
 
+def _pairs(whole: bool, turn: int, sketched: bool):
+    """(a, b, hits): pairs of classes of different components that share signatures.
 
-def _pairs(whole: bool):
-    """(a, b, hits): pairs of classes of different components that share signatures, a below b."""
+    Not whole: for each class b the class a that comes first in this round's order in
+    most of their signatures; and (component, null, 0) of each component that shares a signature
+    with another. whole: every pair.
+    """
 
     def run(batches):
         for blobs in _by_bucket(batches):
-            parts = [_unpack(blob, EXTRA) for _, blob in blobs]
+            parts = [_unpack(blob, FULL if sketched else BRIEF) for _, blob in blobs]
             sids = np.concatenate([p[0] for p in parts])
-            sid, back = np.unique(sids, return_inverse=True)
-            meta = np.concatenate([p[2] for p in parts])[np.unique(sids, return_index=True)[1]]
+            sid, at, back = np.unique(sids, return_index=True, return_inverse=True)
+            meta = np.concatenate([p[2] for p in parts])[at]
             comp = np.ascontiguousarray(meta[:, :8]).view("<u8")[:, 0]
             size = np.ascontiguousarray(meta[:, 8:16]).view("<i8")[:, 0]
-            hist = np.ascontiguousarray(meta[:, 16:]).view("<u2")
+            sketch = np.ascontiguousarray(meta[:, 16:])
             owner = np.repeat(back, np.concatenate([p[1] for p in parts]))
             items = np.concatenate([p[3] for p in parts])
-            order = np.lexsort((owner, items))
+            rank = _priority(sid, turn)
+            order = np.lexsort((rank[owner], items))
             items, owner = items[order], owner[order]
             keep = np.r_[True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])]
             items, owner = items[keep], owner[keep]
             start = _runs(items)
             length = np.diff(np.r_[start, len(items)])
-            found, hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            found = _Pairs(sid, comp, size, sketch)
+            if not whole:
+                head = np.repeat(owner[start], length)
+                mixed = comp[head] != comp[owner]
+                active = np.unique(np.r_[comp[head[mixed]], comp[owner[mixed]]])
+                found.add(head, owner)
+                a, b, hits = found.best()
+                yield _pair_batch(sid[a], sid[b], hits)
+                if len(active):
+                    yield pa.record_batch([pa.array(_signed(active)), pa.nulls(len(active), pa.int64()), pa.array(np.zeros(len(active), np.int64))], names=["a", "b", "hits"])
+                continue
+            # by distance within a run: each step pairs every row with the d-th after it
+            d, held, rows = 1, [], 0
+            alive = np.flatnonzero(length > d)
+            while len(alive):
+                for k in range(0, len(alive), 50_000):
+                    some = alive[k : k + 50_000]
+                    reps = length[some] - d
+                    base = np.repeat(start[some] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
+                    held.append((owner[base], owner[base + d]))
+                    rows += len(base)
+                    if rows > HELD:
+                        found.add(*(np.concatenate(x) for x in zip(*held)))
+                        held, rows = [], 0
+                d += 1
+                alive = alive[length[alive] > d]
+            if rows:
+                found.add(*(np.concatenate(x) for x in zip(*held)))
             n = len(sid)
+            yield _pair_batch(sid[found.code // n], sid[found.code % n], found.hits)
 
-            def add(a, b):
-                nonlocal found, hits
-                lo, hi = np.minimum(a, b), np.maximum(a, b)
-                diff = comp[lo] != comp[hi]
-                code, count = np.unique(lo[diff] * n + hi[diff], return_counts=True)
-                lo, hi = code // n, code % n
-                if whole and len(code):
-                    ok = np.zeros(len(code), bool)
-                    for k in range(0, len(code), 100_000):
-                        p, q = lo[k : k + 100_000], hi[k : k + 100_000]
-                        ok[k : k + 100_000] = _plausible(size[p], size[q], hist[p], hist[q])
-                    code, count = code[ok], count[ok]
-                both = np.concatenate([found, code])
-                found, at = np.unique(both, return_inverse=True)
-                hits = np.bincount(at, weights=np.concatenate([hits, count]), minlength=len(found)).astype(np.int64)
+    return run
 
-            if not whole:
-                group = np.repeat(np.arange(len(start)), length)
-                add(owner[start[group]], owner)
-            else:
-                # by distance within a run: each step pairs every row with the d-th after it
-                d = 1
-                alive = np.flatnonzero(length > d)
-                pend_a, pend_b, pend = [], [], 0
-                while len(alive):
-                    reps = length[alive] - d
-                    base = np.repeat(start[alive] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-                    pend_a.append(owner[base])
-                    pend_b.append(owner[base + d])
-                    pend += len(base)
-                    if pend > HELD:
-                        add(np.concatenate(pend_a), np.concatenate(pend_b))
-                        pend_a, pend_b, pend = [], [], 0
-                    d += 1
-                    alive = alive[length[alive] > d]
-                if pend:
-                    add(np.concatenate(pend_a), np.concatenate(pend_b))
-            if len(found):
-                yield pa.record_batch([pa.array(_signed(sid[found // n])), pa.array(_signed(sid[found % n])), pa.array(hits)], names=["a", "b", "hits"])
 
-    return run
+def _pair_batch(a: np.ndarray, b: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(_signed(a)), pa.array(_signed(b)), pa.array(hits)], names=["a", "b", "hits"])
+
+
+class _Pairs:
+    """Distinct plausible pairs (first, second) of different components, and how often each was met."""
+
+    def __init__(self, sid, comp, size, sketch):
+        self.n, self.comp, self.size, self.sketch = len(sid), comp, size, sketch
+        self.code, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = a[self.comp[a] != self.comp[b]], b[self.comp[a] != self.comp[b]]
+        code, count = np.unique(a * self.n + b, return_counts=True)
+        a, b = code // self.n, code % self.n
+        ok = np.zeros(len(code), bool)
+        for k in range(0, len(code), 20_000):
+            p, q = a[k : k + 20_000], b[k : k + 20_000]
+            ok[k : k + 20_000] = _plausible(self.size[p], self.size[q], self.sketch[p], self.sketch[q])
+        self.code, at = np.unique(np.concatenate([self.code, code[ok]]), return_inverse=True)
+        self.hits = np.bincount(at, weights=np.concatenate([self.hits, count[ok]]), minlength=len(self.code)).astype(np.int64)
+
+    def best(self):
+        """Of each second class, the first one it was met with most."""
+        a, b = self.code // self.n, self.code % self.n
+        order = np.lexsort((a, -self.hits, b))
+        a, b, hits = a[order], b[order], self.hits[order]
+        first = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
+        return a[first], b[first], hits[first]
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -449,7 +510,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = _long(x.as_buffer()), _long(y.as_buffer())
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
@@ -489,7 +550,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 # --- the operator --------------------------------------------------------------------------
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, n, sid of every row (sid: its class of equal sets);
     links are verified edges (a, b) between classes that join up all linked classes."""
     spark = docs.sparkSession
@@ -508,6 +569,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(64, -(-total // HELD))
     blobs = text.select("text").mapInArrow(_shared_rows(first, buckets), BLOBS)
     left = cut(_may_link(_bucketed(blobs), classes, "m"), "may-link")
+    release(spark)
     n_left = left.count()
 
     def whole(batches):
@@ -517,7 +579,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for sid, s in zip(want, shingle_sets(b.column("text"), size)):
                 if int(_signed([_sid(s)])[0]) == sid:
                     ids.append(sid)
-                    sets.append(s.astype("<u8").tobytes())
+                    sets.append(_short(s))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "items"])
 
     small = left.select(F.col("doc_id").alias("rep"), "sid")
@@ -529,7 +591,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def again(batches):
         for b in batches:
             for sid, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                yield sid & (2**64 - 1), np.frombuffer(blob.as_buffer(), "<u8")
+                yield sid & (2**64 - 1), mix(_long(blob.as_buffer()))
 
     buckets = max(64, -(-total // HELD))
     left = _may_link(_bucketed(sets.mapInArrow(_shared_rows(again, buckets), BLOBS)), left, "n").select("sid")
@@ -538,20 +600,45 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = spark.createDataFrame([], "a long, b long")
     if sized[1] < 2:
         return members, links
-    buckets = max(16, -(-(sized[0] // 8 * 3) // HELD))
-    roots = None
-    for k in range(star_rounds + 1):
-        cross = k == star_rounds
-        own = sets.withColumn("comp", F.col("sid")) if roots is None else sets.join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
-        blobs = own.select("sid", "comp", "items").mapInArrow(_signature_rows(buckets, cross), BLOBS)
-        pairs = _bucketed(blobs).mapInArrow(_pairs(cross), "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-        if not cross:  # each class is compared with the one it shares most signatures with
+    release(spark)
+    buckets = max(16, -(-(sized[0] // 6 * 2) // HELD))
+    tried, roots, alive, turn, cross = links, None, None, 0, False
+    while True:
+        # alive: sid and component of the classes that may still have links to other components
+        own = sets.withColumn("comp", F.col("sid")) if alive is None else sets.join(F.broadcast(alive) if n_alive <= BROADCAST_ROWS else alive, "sid")
+        blobs = own.select("sid", "comp", "items").mapInArrow(_signature_rows(buckets, cross, turn, turn > 0), BLOBS)
+        met = _bucketed(blobs).mapInArrow(_pairs(cross, turn, turn > 0), "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+        met = cut(met, "met")
+        pairs = met.where("b is not null")
+        if not cross:  # a class may have been met with other first classes elsewhere: the one met most
             pairs = pairs.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        pairs = cut(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        n_pairs = pairs.count()
+        if DEBUG:
+            print("round", turn, "cross" if cross else "star", "met", met.count(), "pairs", n_pairs, "alive", None if alive is None else n_alive, flush=True)
+        if n_pairs:
+            new = cut(_verify(pairs, sets, (3, 4)), "links")
+            n_new = new.count()
+            if DEBUG:
+                print("   new links", n_new, flush=True)
+            if n_new:
+                links = links.unionByName(new)
+                roots = components(links)
+        else:
+            n_new = 0
+        release(spark)
+        if cross:
+            break
+        tried = tried.unionByName(pairs)
+        labels = own.select("sid", "comp").join(met.where("b is null").select(F.col("a").alias("comp")), "comp", "left_semi").select("sid")
+        labels = labels.withColumn("comp", F.col("sid")) if roots is None else labels.join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("comp"))
+        alive = cut(labels, "alive")
+        n_alive = alive.count()
+        if not n_alive:
             break
-        links = cut(links.unionByName(_verify(pairs, sets, (3, 4))), "links")
-        roots = components(links)
+        turn += 1
+        cross = turn >= ROUNDS or n_new < GAIN * max(1, n_pairs)
     return members, links
 
 

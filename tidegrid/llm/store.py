@@ -6,6 +6,7 @@ to the folder that ``spark.checkpoint.dir`` names, which every executor shares.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,3 +63,9 @@ def prepare(spark: SparkSession, records: int = 512) -> None:
         for p in sorted((_ROOT / "tidegrid").rglob("*.py")):
             z.write(p, p.relative_to(_ROOT))
     sc.addPyFile(str(target))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of tables that have been cut and are no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
