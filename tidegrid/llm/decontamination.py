@@ -34,6 +34,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def _lower(word: Column) -> Column:
     """A-Z only; a word that is all ASCII takes the quick way."""
+    word = F.coalesce(word, F.lit(""))  # never null: no filter is derived that would lower each word twice
     return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
@@ -63,7 +64,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
         block = windows.where(F.pmod("window", F.lit(blocks)) == k) if blocks > 1 else windows
         # a block holds about BLOCK_WORDS windows, so either broadcast side is bounded
         vocabulary = block.select(F.explode("words").alias("w")).distinct()
-        seen = docs.select(F.explode(_words(text)).alias("raw")).select(_lower(F.col("raw")).alias("w"))
+        seen = docs.select(F.explode_outer(_words(text)).alias("raw")).select(_lower(F.col("raw")).alias("w"))
         counts = seen.join(F.broadcast(vocabulary), "w").groupBy("w").agg(F.count("*").alias("c"))
         ranked = block.select("window", "n", "words", F.posexplode("words").alias("off", "w")).join(counts, "w")
         # windows with a word that no document has can't occur
@@ -71,10 +72,12 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
         prefix = whole.where("found = n").select("window", F.col("n").alias("wn"), F.array_join("words", " ").alias("whole"), F.col("rare.w").alias("w"), F.col("rare.off").alias("off"))
         prefix = prefix.select(F.col("w").alias("token"), "window", "wn", "whole", "off")
         ws = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("k1"), F.hash(text, F.lit(1)).alias("k2"), _words(text).alias("ws"))
-        at = ws.select("k1", "k2", "ws", F.posexplode("ws").alias("pos", "raw")).withColumn("token", _lower(F.col("raw")))
+        # outer, as else a filter is derived that splits each text twice; expressions below are all compiled
+        # into the stage of the join, so that a text's array is copied for rows that match only
+        at = ws.select("k1", "k2", "ws", F.posexplode_outer("ws").alias("pos", "raw")).withColumn("token", _lower(F.col("raw")))
         begin = F.col("pos") - F.col("off")
         room = (begin >= 0) & (begin + F.col("wn") <= F.size("ws"))
-        same = F.array_join(F.transform(F.slice("ws", F.greatest(begin + 1, F.lit(1)), F.col("wn")), _lower), " ") == F.col("whole")
+        same = _lower(F.array_join(F.slice("ws", F.greatest(begin + 1, F.lit(1)), F.col("wn")), " ")) == F.col("whole")
         parts.append(at.join(F.broadcast(prefix), "token").where(room).where(same).select("k1", "k2", "window", begin.alias("start"), (begin + F.col("wn")).alias("stop")))
     hits = parts[0]
     for p in parts[1:]:
