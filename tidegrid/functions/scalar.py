@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patch widths by tier, scale factors and floors.
@@ -86,6 +86,17 @@ def fourier(x, low: float, high: float, n: int) -> Column:
     return F.concat(F.transform(freqs, lambda f: F.sin(col(x) * f)), F.transform(freqs, lambda f: F.cos(col(x) * f)))
 
 
+def computed(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with these columns computed at this place.
+
+    The optimizer merges projections and would copy a column's expression to each of
+    its uses; a chain of uses then grows without bound. It doesn't merge over a
+    generator, and one of a single element costs nothing.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("__at")).select(*rest, *[F.col(f"__at.{c}").alias(c) for c in columns])
+
+
 def steps(n) -> Column:
     """A generator of 0..n-1 as long."""
     last = (n if isinstance(n, Column) else F.lit(n)).cast("long") - 1
