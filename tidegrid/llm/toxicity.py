@@ -31,6 +31,8 @@ from .words import U64, Words, chunks, span_hashes
 
 DIM = 1 << 18
 SELECTED = 256
+#: How far a bucket's log ratio, times the root of its toxic documents, must stand out.
+MIN_Z = 3.0
 #: Labelled documents of either class, first by a hash of their id, that the fit sees at most.
 TRAIN_DOCS = 6_000
 #: Labels that are broadcast at most; a shuffled join serves beyond it.
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     p1, p0 = (F.col("n1") + 0.5) / (total[1] + 1), (F.col("n0") + 0.5) / (total[0] + 1)
     z = F.log(p1 / p0) * F.sqrt(F.col("n1") + 1)
     seeds = {c: seed_buckets(w) for c, w in SEEDS.items()}
-    top = [r[0] for r in counts.where("n1 >= 3").orderBy(z.desc(), "bucket").limit(SELECTED).collect()]
+    top = [r[0] for r in counts.where("n1 >= 3").where(z >= MIN_Z).orderBy(z.desc(), "bucket").limit(SELECTED).collect()]
     selected = np.array(sorted({*top, *(b for s in seeds.values() for b in s)}), np.int64)
     by = [F.xxhash64("id"), "id"]
     few = known.where("toxic = 1").orderBy(*by).limit(train_docs).unionAll(known.where("toxic = 0").orderBy(*by).limit(train_docs))
