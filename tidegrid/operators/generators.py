@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import normal, steps, uniform
 
-KEYS = ["idx"]
-OVER = Window.partitionBy("idx").orderBy("t")
-SO_FAR = OVER.rowsBetween(Window.unboundedPreceding, 0)
+
+def _over() -> WindowSpec:
+    return Window.partitionBy("idx").orderBy("t")
+
+
+def _so_far() -> WindowSpec:
+    return _over().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def grid(spark: SparkSession, n_series: int, n: int) -> DataFrame:
@@ -65,11 +69,11 @@ def intermittent(g: DataFrame, rate: float = 0.1) -> DataFrame:
 
 
 def random_walk(g: DataFrame) -> DataFrame:
-    return g.withColumn("e", noise()).withColumn("y", F.sum("e").over(SO_FAR)).drop("e")
+    return g.withColumn("e", noise()).withColumn("y", F.sum("e").over(_so_far())).drop("e")
 
 
 def geometric_walk(g: DataFrame) -> DataFrame:
-    return g.withColumn("e", 0.0005 + 0.02 * noise()).withColumn("y", 100 * F.exp(F.sum("e").over(SO_FAR))).drop("e")
+    return g.withColumn("e", 0.0005 + 0.02 * noise()).withColumn("y", 100 * F.exp(F.sum("e").over(_so_far()))).drop("e")
 
 
 def regime_jump(g: DataFrame, n: int) -> DataFrame:
@@ -80,7 +84,7 @@ def regime_jump(g: DataFrame, n: int) -> DataFrame:
 
 def shift(x: str, lag: int) -> Column:
     """The value ``lag`` steps before; at the beginning the first one."""
-    return F.coalesce(F.lag(x, lag).over(OVER), F.first(x).over(SO_FAR))
+    return F.coalesce(F.lag(x, lag).over(_over()), F.first(x).over(_so_far()))
 
 
 def lag_probe(g: DataFrame, lag: int = 5) -> DataFrame:
