@@ -225,9 +225,9 @@ _TIERS = """tr AS (SELECT series_id, channel_idx, tier, patch, (mx - t) // patch
   CROSS JOIN (VALUES (1, 8), (2, 16), (3, 64), (4, 256), (5, 512)) p(tier, patch) WHERE ((mx - t) // patch + 1) * patch <= n GROUP BY ALL)"""
 
 
-@query("tier_aggregate", V.with_("ord_daily", _TIERS.format("ord_daily"), select="SELECT channel_idx, tier, back::BIGINT AS back, round(y, 2) AS y FROM tr"))
+@query("tier_aggregate", V.with_("emb_series", _TIERS.format("emb_series"), select="SELECT series_id, tier, back::BIGINT AS back, round(y, 6) AS y FROM tr"))
 def tier_aggregate(spark, d):
-    return st.tier_aggregate(src.ord_daily(spark, d)).select("channel_idx", "tier", "back", F.round("y", 2).alias("y"))
+    return st.tier_aggregate(src.emb_series(spark, d)).select("series_id", "tier", "back", r6("y"))
 
 
 _TIER_SIGMA = """td AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY series_id, channel_idx, tier ORDER BY back DESC)) AS adx FROM tr),
