@@ -217,6 +217,14 @@ def test_crf_finds_a_secret_that_patterns_miss():
     assert [k for _, k, _ in spans] == [3] and spans[0][0] == text.index("= ") + 2
 
 
+def test_secret_candidates_dont_depend_on_neighbours():
+    texts = ["deadbeef01234567"] * 3 + ["", None, "é", "0123456789abcdef", "ab", "cdef", "Zq7aaaaaaaaa", "0123456789abcdef"]
+    hexes, _, places = secret_scan._candidates(pa.array(texts))
+    alone = [secret_scan._candidates(pa.array([t], pa.string())) for t in texts]
+    assert hexes.tolist() == [bool(h[0]) for h, _, _ in alone] and places == [p[0] for _, _, p in alone]
+    assert secret_scan.find(pa.array(texts), None)[:3] == [[(0, 2, 16)]] * 3
+
+
 def _ids(texts):
     tokenizer = Encoder(public_path()).tokenizer
     return [[*e.ids, 1] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]

@@ -68,15 +68,15 @@ def _runs_at_least(mask: np.ndarray, least: int) -> np.ndarray:
 def _candidates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """By text: whether it has a long hexadecimal run; whether a keyword may stand there; byte places of shaped tokens."""
     buf, off = buffer_of(texts)
+    # a byte that no pattern takes ends each text, so that no run joins two
+    buf, off = np.insert(buf, off[1:], 10), off + np.arange(len(off))
     digit = (buf - np.uint8(48)) < 10
     upper = (buf - np.uint8(65)) < 26
     lower = (buf - np.uint8(97)) < 26
     n = len(off) - 1
     hexes = np.zeros(n, bool)
     runs = _runs_at_least(digit | ((buf - np.uint8(97)) < 6), MIN_HEX)
-    # runs may join two texts: the pattern itself decides
-    for at in (runs[:, 0], runs[:, 1] - 1):
-        hexes[np.searchsorted(off, at, side="right") - 1] = True
+    hexes[np.searchsorted(off, runs[:, 0], side="right") - 1] = True
     word = digit | upper | lower | (buf == 43) | (buf == 47) | (buf == 95) | (buf == 61) | (buf == 45)
     tokens = _runs_at_least(word, 8)
     places: list[list[int]] = [[] for _ in range(n)]
@@ -90,9 +90,6 @@ def _candidates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]
         owner = np.searchsorted(off, s, side="right") - 1
         for d, at in zip(owner[shaped].tolist(), s[shaped].tolist()):
             places[d].append(at - int(off[d]))
-        last = np.searchsorted(off, e - 1, side="right") - 1
-        for d in np.unique(last[shaped & (last != owner)]).tolist():  # a run over the end of a text
-            places[d].append(0)
     return hexes, buf, places
 
 
