@@ -146,6 +146,21 @@ def test_stateful_reservoir_flushes(spark, tmp_path):
     assert max(used.values()) <= 64
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_reservoir_returns_every_document_once(spark, tmp_path, parts):
+    sf = str(tmp_path) if parts else SF
+    if parts:  # a table that is a folder
+        src.read(spark, SF, "documents").repartition(parts).write.parquet(f"{sf}/documents.parquet")
+    rows = catalog.queries()["stream_reservoir"](spark, sf).collect()
+    want = {r.item: r.size for r in src.doc_lengths(spark, SF).collect()}
+    assert len(rows) == len(want) and {r.item: r.size for r in rows} == want
+    used = {}
+    for r in rows:
+        assert r.item % 4 == r.shard
+        used[r.shard, r.buffer_id] = used.get((r.shard, r.buffer_id), 0) + r.size
+    assert max(used.values()) <= 256
+
+
 _FAST = [n for n in catalog.oracle_sql() if n.startswith(("series_", "snaive", "mase_by", "gmean", "leaderboard_per", "robust", "tier_agg", "normalize_forward", "cost_s", "rolling", "gen_", "season_l", "pack_"))]
 
 

@@ -17,7 +17,7 @@ def stream_hourly(spark, d):
 
 def stream_reservoir(spark, d):
     items = hs.stream_of(spark, d, "documents").select(F.col("doc_id").alias("item"), F.least(F.lit(256), F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 64))).cast("long").alias("size"))
-    return hs.drained(hs.packed(items, 256, 48, 4), "append", "reservoir")
+    return hs.packed_whole(items, 256, 48, 4)
 
 
 QUERIES["stream_hourly"] = stream_hourly

@@ -21,9 +21,9 @@ def folder(spark: SparkSession, label: str) -> str:
 
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's files as a stream."""
+    """A table's files as a stream, whether the table is one file or a folder; a stream takes a file only by a glob."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -80,3 +80,16 @@ def packed(items: DataFrame, l_pack: int, k: int, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandasWithState(
         step, "shard int, buffer_id long, seq long, item long, size long", "sizes array<long>, ids array<long>, made long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def packed_whole(items: DataFrame, l_pack: int, k: int, shards: int) -> DataFrame:
+    """Buffers of all of a drained stream's items: once it has ended, a second run from the same checkpoint flushes every shard."""
+    spark = items.sparkSession
+    flushes, at = folder(spark, "flushes"), folder(spark, "reservoir-at")
+    schema = "item long, size long"
+    spark.createDataFrame([], schema).write.parquet(flushes)
+    both = items.select(F.col("item").cast("long"), F.col("size").cast("long")).unionByName(spark.readStream.schema(schema).parquet(flushes))
+    stream = packed(both, l_pack, k, shards)
+    full = drained(stream, "append", "reservoir", at)
+    spark.range(shards).select(F.col("id").alias("item"), F.lit(0).cast("long").alias("size")).write.mode("append").parquet(flushes)
+    return full.unionByName(drained(stream, "append", "reservoir", at))
