@@ -161,6 +161,35 @@ def test_stream_reservoir_returns_every_document_once(spark, tmp_path, parts):
     assert max(used.values()) <= 256
 
 
+def test_mask_queries_cover_every_document(spark):
+    buffers = {}
+    for r in pk.best_fit(src.doc_lengths(spark, SF), 256, 48, 4).orderBy("shard", "buffer_id", "seq").collect():
+        buffers.setdefault(r.buffer_id * 4 + r.shard, []).append(r.size)
+    assert sum(map(len, buffers.values())) == src.read(spark, SF, "documents").count() and max(max(b) for b in buffers.values()) > 32
+    pairs, routed, slots = {}, set(), set()
+    for b, sizes in buffers.items():
+        base, tiers = 0, {}
+        for size in sizes:
+            for i in range(size):
+                slots.add((b, base + i))
+                if i % 4 == 3:
+                    keys = range(size)
+                else:
+                    keys = [k for k in range(i + 1) if k % 4 != 3]
+                pairs[b, base + i] = (len(keys), sum(base + k for k in keys))
+                if i % 5 != 4:
+                    at = tiers[i % 6] = tiers.get(i % 6, -1) + 1
+                    if at < 8:
+                        routed.add((b, i % 6, base + i, at))
+            base += size
+    got = catalog.queries()["attention_pairs"](spark, SF).collect()
+    assert len(got) == len(pairs) and {(r.buffer_id, r.q): (r.n_keys, r.key_sum) for r in got} == pairs
+    got = catalog.queries()["route_rank"](spark, SF).collect()
+    assert len(got) == len(routed) and {tuple(r) for r in got} == routed
+    got = catalog.queries()["forward_smoke"](spark, SF).collect()
+    assert len(got) == len(slots) and {(r.buffer_id, r.slot) for r in got} == slots and all(math.isfinite(r.pred) for r in got)
+
+
 _FAST = [n for n in catalog.oracle_sql() if n.startswith(("series_", "snaive", "mase_by", "gmean", "leaderboard_per", "robust", "tier_agg", "normalize_forward", "cost_s", "rolling", "gen_", "season_l", "pack_"))]
 
 

@@ -236,7 +236,10 @@ def pad_fill(spark, d):
 
 
 def _mask_tokens(spark, d):
-    rows = tk.pack_offsets(_buffers(spark, d)).where("buffer_id < 20").select("buffer_id", F.col("seq").alias("sample"), "size", "token_base", S.steps(F.col("size")).alias("i"))
+    """Tokens of all documents at their whole sizes, in best-fit buffers; a buffer's id holds its shard."""
+    packed = pk.best_fit(src.doc_lengths(spark, d), 256, 48, 4)
+    packed = packed.select((F.col("buffer_id") * 4 + F.col("shard")).alias("buffer_id"), "seq", "item", "size", F.lit(1).cast("long").alias("c"), (F.col("size") * 4).alias("store"))
+    rows = tk.pack_offsets(packed).select("buffer_id", F.col("seq").alias("sample"), "size", "token_base", S.steps(F.col("size")).alias("i"))
     return rows.select("buffer_id", "sample", (F.col("token_base") + F.col("i")).alias("slot"), F.when(F.pmod("i", F.lit(4)) == 3, tk.QRY).otherwise(tk.CTX).alias("role"), (F.col("i") - F.floor(F.col("size") / 2)).alias("t_center"), F.pmod("i", F.lit(6)).alias("tier"), F.when(F.pmod("i", F.lit(5)) == 4, tk.NA).otherwise(tk.OBSERVED).alias("content_state"))
 
 
