@@ -161,6 +161,26 @@ def test_stream_reservoir_returns_every_document_once(spark, tmp_path, parts):
     assert max(used.values()) <= 256
 
 
+def _sql(text):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    return con.execute(text).fetchall()
+
+
+def _same(df, columns, want):
+    got, want = {tuple(r)[:columns]: tuple(r)[columns:] for r in df.collect()}, {r[:columns]: r[columns:] for r in want}
+    assert got.keys() == want.keys()
+    assert all(a == pytest.approx(b, abs=2e-6) for k in got for a, b in zip(got[k], want[k]))
+
+
+def test_fourier_features_of_every_hour(spark):
+    sql = catalog.oracle_sql()["fourier_features"]
+    assert sql.count(" AND t < 48") <= 1
+    _same(catalog.queries()["fourier_features"](spark, SF), 3, _sql(sql.replace(" AND t < 48", "")))
+
+
 def test_mask_queries_cover_every_document(spark):
     buffers = {}
     for r in pk.best_fit(src.doc_lengths(spark, SF), 256, 48, 4).orderBy("shard", "buffer_id", "seq").collect():
