@@ -181,6 +181,13 @@ def test_fourier_features_of_every_hour(spark):
     _same(catalog.queries()["fourier_features"](spark, SF), 3, _sql(sql.replace(" AND t < 48", "")))
 
 
+def test_norm_window_has_every_segment(spark):
+    sql = catalog.oracle_sql()["norm_window"]
+    want = [r for o in (336, 504, 672) for r in _sql(sql.replace("t < 336", f"t < {o}").replace("segment_id = 336", f"segment_id = {o}"))]
+    assert {r[0] for r in want} == {336, 504, 672}
+    _same(catalog.queries()["norm_window"](spark, SF), 3, want)
+
+
 def test_mask_queries_cover_every_document(spark):
     buffers = {}
     for r in pk.best_fit(src.doc_lengths(spark, SF), 256, 48, 4).orderBy("shard", "buffer_id", "seq").collect():

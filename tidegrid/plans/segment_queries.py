@@ -206,10 +206,12 @@ FROM (SELECT segment_id, origin, cov, unnest(range(cov)) AS o FROM seg WHERE seg
 LEFT JOIN ev_hourly p ON p.channel_idx = sg.channel_idx AND p.t = g.origin - g.cov + g.o""",
 )
 def norm_window(spark, d):
-    points = src.ev_hourly(spark, d)
-    ctx = points.where("t < 336")
+    # each segment's context is a series of its own, so that its statistics are those before its origin
+    segments = _segments(spark, d)
+    own = segments.select("segment_id", "series_id", "origin")
+    ctx = src.ev_hourly(spark, d).join(F.broadcast(own), "series_id").where("t < origin").withColumn("series_id", F.concat_ws(":", "segment_id", "series_id")).drop("segment_id", "origin")
     stats = st.robust_sigma(ctx).join(st.anchors(ctx), ["series_id", "channel_idx"])
-    return tk.norm_store(_segments(spark, d).where("segment_id = 336"), points, stats).select("segment_id", "channel_idx", "offset", r6("z"), "observed")
+    return tk.norm_store(segments.withColumn("series_id", F.concat_ws(":", "segment_id", "series_id")), ctx, stats).select("segment_id", "channel_idx", "offset", r6("z"), "observed")
 
 
 # Items of a packing workload, dealt to buffers of eight by number, for offsets, padding and masks.
