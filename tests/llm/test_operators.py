@@ -225,6 +225,13 @@ def test_secret_candidates_dont_depend_on_neighbours():
     assert secret_scan.find(pa.array(texts), None)[:3] == [[(0, 2, 16)]] * 3
 
 
+def test_secret_fit_doesnt_depend_on_layout(spark):
+    far = " ".join(["plain words of prose"] * 12)
+    texts = [f" {far} ".join(f"{'password' if k % 2 else 'note'} = {k * 7919 + i * 104729:x}aB{i}cdefgh{k}9" for k in range(20)) for i in range(4)]
+    one, other = (secret_scan.fit(spark.createDataFrame(rows, SCHEMA).coalesce(1), train_docs=4) for rows in (_rows(texts), _rows(texts)[::-1]))
+    assert np.array_equal(one.emit, other.emit)
+
+
 def _ids(texts):
     tokenizer = Encoder(public_path()).tokenizer
     return [[*e.ids, 1] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]

@@ -209,7 +209,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     prepare(docs.sparkSession)
     ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(train_docs).distinct()
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text").between(1, 200_000))
-    rows = text.join(F.broadcast(ids), "id").select("text").mapInArrow(_learn, "x binary, y binary").limit(8 * train_docs).collect()
+    rows = text.join(F.broadcast(ids), "id").select("text").mapInArrow(_learn, "x binary, y binary").collect()
     rows = sorted((bytes(r["y"]), bytes(r["x"])) for r in rows)
     ys = [np.frombuffer(y, np.int8) for y, _ in rows]
     if not any(y.any() for y in ys):
