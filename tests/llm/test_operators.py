@@ -307,27 +307,60 @@ def test_packing(spark, docs):
     assert packing.pack(docs.where("false"), public_path()).count() == 0
 
 
-def test_lm_score(docs):
+def _backoff_model(sequences, mu):
+    """p(word, context) by recursion over counts of whole n-grams."""
+    counts, contexts, order = Counter(), Counter(), len(mu) + 1
+    for w in sequences:
+        full = ["<begin>", *w]
+        for i in range(1, len(full)):
+            counts[(full[i],)] += 1
+            for k in range(2, order + 1):
+                if i - k + 1 >= 0:
+                    counts[tuple(full[i - k + 1 : i + 1])] += 1
+                    contexts[tuple(full[i - k + 1 : i])] += 1
+    words = {g[0] for g in counts if len(g) == 1}
+    n = sum(counts[(w,)] for w in words)
+
+    def p(word, context):
+        if not context:
+            return (counts[(word,)] + 1) / (n + len(words) + 1)
+        m = mu[len(context) - 1]
+        return (counts[(*context, word)] + m * p(word, context[1:])) / (contexts[context] + m)
+
+    return p, words, n
+
+
+@pytest.mark.parametrize("mu,chunk", [((100.0, 100.0), 2_000_000), ((7.0, 3.0, 2.0), 500), ((), 500)])
+def test_lm_score(docs, monkeypatch, mu, chunk):
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
     texts = _texts()
-    got = {r.doc_id: r for r in lm_score.score(docs).collect()}
+    got = {r.doc_id: r for r in lm_score.score(docs, mu=mu).collect()}
     tokens = [[*(t or "").encode().lower().split(), "end"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    c, pairs, before = Counter(), Counter(), Counter()
-    for w, h in zip(tokens, held):
-        if not h:
-            c.update(w)
-            pairs.update(zip(["begin", *w], w))
-            before.update(["begin", *w[:-1]])
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 1) / (n + v + 1)
+    p, words, n = _backoff_model([w for w, h in zip(tokens, held) if not h], mu)
     for i, w in enumerate(tokens):
-        base = sum(math.log10(p(x)) for x in w)
-        score = sum(math.log10((pairs[a, b] + lm_score.MU * p(b)) / (before[a] + lm_score.MU)) for a, b in zip(["begin", *w], w))
-        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(w), sum(c[x] > 0 for x in w), n)
+        full = ["<begin>", *w]
+        base = sum(math.log10(p(x, ())) for x in w)
+        score = sum(math.log10(p(full[j], tuple(full[max(0, j - len(mu)) : j]))) for j in range(1, len(full)))
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(w), sum(x in words for x in w), n)
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score)
-    # a state's probabilities, unseen words included, sum to 1
-    words = [*c, "unseen"]
-    assert sum((pairs["alpha".encode(), b] + lm_score.MU * p(b)) / (before["alpha".encode()] + lm_score.MU) for b in words) == pytest.approx(1)
+    # each state's probabilities, unseen words included, sum to 1
+    some = next(w for w, h in zip(tokens, held) if not h and len(w) > 5)
+    for k in range(len(mu) + 1):
+        assert sum(p(x, tuple(some[1 : 1 + k])) for x in [*words, "<unseen>"]) == pytest.approx(1)
+
+
+def test_lm_long_texts_are_entered_in_the_right_state(monkeypatch):
+    rng = np.random.default_rng(8)
+    lens = np.array([400, 1, 33, 700])
+    c = lm_score.Chunk(0, lens, np.array([False, False, True, False]), rng.integers(0, 40, lens.sum()), np.sort(rng.integers(0, 2**63, 40).astype(np.uint64)))
+    grams = c.grams(3)
+    counts = [c.own_counts(g) for g in grams]
+    own = lm_score.Automaton(lm_score.Model(int(lens.sum()) - 33, 40, 3, (5.0, 2.0), ""), c, grams, counts)
+    whole = own.traverse(c)
+    for span in (2, 7, 64):
+        monkeypatch.setattr(lm_score, "SPAN", span)
+        assert np.allclose(own.traverse(c), whole)
 
 
 def test_toxicity(spark):

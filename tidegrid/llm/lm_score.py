@@ -1,26 +1,32 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a bigram model with Dirichlet smoothing. Its automaton has a state
-for each context word and a root: a state's arcs are the bigrams seen after it,
-with log10((c(w v) + MU p(v)) / (c(w) + MU)); its failure arc leads to the root
-and weighs log10(MU / (c(w) + MU)); the root's arcs weigh log10 p(v), where
-p(v) = (c(v) + 1) / (N + V + 1) also serves unseen words. One traversal from left
-to right carries the state and adds the weights. Probabilities of a state sum to 1.
+The model holds n-grams of 1 to ORDER words with Dirichlet smoothing:
+p(v) = (c(v) + 1) / (N + V + 1), which also serves unseen words, and for a context h
+p(v | h) = (c(h v) + MU p(v | h')) / (c(h) + MU), h' being h without its first word.
+Its automaton has a state for each context that training has (the root: none; the
+longest: ORDER - 1 words; one more for the beginning of a text). A state's arcs are the
+n-grams seen after it, with log10 p(v | h); an arc leads to the longest state that ends
+with its words. A state's failure arc weighs log10(MU / (c(h) + MU)) and leads to the
+state of h'; the root has an arc for every word. One traversal from left to right
+carries the state and adds the weights. Probabilities of a state sum to 1.
 
 Counts cover all training tokens, without a cut-off, and never meet in one place:
 
 1. Tasks cut the corpus into chunks: ids of tokens in a list of the chunk's distinct
    words, written to the shared folder.
-2. A chunk sends its distinct words and bigrams with their training counts to
-   buckets by hash; a frequent word is one item a chunk, whatever its count.
-3. A bucket adds the counts up and answers every chunk in the order of its items;
-   answers are gathered to one file a chunk.
-4. A chunk's task reads its answers, which are the part of the automaton that its
-   own documents can visit, and traverses its documents.
+2. For each order in turn, a chunk sends its distinct n-grams, as 64-bit hashes, with
+   their training counts to buckets by hash; a frequent one is one item a chunk,
+   whatever its count. An n-gram whose first or last n - 1 words stand in no other chunk
+   stands in none either: the chunk's own count is the total, and it isn't sent.
+3. A bucket adds the counts up and answers every chunk in the order of its items, with
+   whether another chunk has the item too; answers are gathered to one file a chunk.
+4. A chunk's task builds from its answers the part of the automaton that its own
+   documents can visit, and traverses its documents.
 
 Defined results: null or empty text is the end token alone; rows are scored one by
 one, repeated rows get equal results (and each counts in training); a null id counts
-as the empty string for the fold. Without training tokens every p(v) is 1.
+as the empty string for the fold. Without training tokens every p(v) is 1. Two n-grams
+of one order whose 64-bit hashes are equal would share their counts.
 """
 
 from __future__ import annotations
@@ -41,11 +47,15 @@ from .store import cut, prepare, scratch
 from .token_store import _fs, _read, _write
 from .words import U64, Words, chunks, mix
 
-MU = 100.0
+#: Weight of the shorter context for each order from 2 on, and the words of the longest n-grams.
+MU = (100.0, 100.0)
+ORDER = len(MU) + 1
 END = U64(0x1F83D9ABFB41BD6B)
 BEGIN = U64(0x5BE0CD19137E2179)
 #: Tokens of a chunk, and items aimed at in a bucket.
 CHUNK, BUCKET = 2_000_000, 1_500_000
+#: Tokens that one reader of a long text takes.
+SPAN = 512
 
 
 def default_held_out(doc_id: str) -> bool:
@@ -68,7 +78,7 @@ def _unsqueeze(raw: bytes, dtype) -> np.ndarray:
 # --- chunks --------------------------------------------------------------------------------
 
 
-def _chunked(held_out: Callable[[str], bool], kind: pa.DataType):
+def _chunked(held_out: Callable[[str], bool], kind: pa.DataType, limit: int):
     def flush(number, ids, lens, hashes):
         tokens = np.concatenate(hashes)
         words, back = np.unique(tokens, return_inverse=True)
@@ -98,7 +108,7 @@ def _chunked(held_out: Callable[[str], bool], kind: pa.DataType):
             lens.append(w.counts + 1)
             hashes.append(h)
             size += len(h)
-            if size > CHUNK:
+            if size > limit:
                 yield flush(number, ids, lens, hashes)
                 number, ids, lens, hashes, size = number + 1, [], [], [], 0
         if ids:
@@ -107,10 +117,22 @@ def _chunked(held_out: Callable[[str], bool], kind: pa.DataType):
     return run
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a chunk."""
+
+    at: np.ndarray  # n-gram that ends at each token; -1 where a text has begun too late for one
+    prefix: np.ndarray  # all but the last word: number among those one shorter (for 2: of the word; len(words): the beginning)
+    word: np.ndarray
+    suffix: np.ndarray  # all but the first word: number among those one shorter
+    keys: np.ndarray  # 64-bit hashes
+
+
 @dataclass
 class Chunk:
-    """Token sequence of a chunk, its distinct words and bigrams."""
+    """Token sequence of a chunk and its n-grams."""
 
+    number: int
     lens: np.ndarray
     held: np.ndarray
     tokens: np.ndarray  # places in words
@@ -118,22 +140,53 @@ class Chunk:
 
     @classmethod
     def of(cls, row: dict) -> "Chunk":
-        return cls(np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["held"], bool), _unsqueeze(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["words"], "<u8"))
-
-    def bigrams(self):
-        """(before of each token, distinct bigrams as before * width + word, place of each token's bigram)."""
-        ends = np.cumsum(self.lens)
-        before = np.r_[0, self.tokens[:-1]]
-        before[np.r_[0, ends[:-1]]] = len(self.words)  # the state at a document's beginning
-        width = len(self.words) + 1
-        found, back = np.unique(before * width + self.tokens, return_inverse=True)
-        return before, found, back
-
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """Hashes of distinct bigrams."""
-        width = len(self.words) + 1
-        first = np.r_[self.words, BEGIN][found // width]
-        return mix(first * U64(0x9E3779B97F4A7C15) + self.words[found % width])
+        return cls(row["chunk"], np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["held"], bool), _unsqueeze(row["tokens"], "<u4").astype(np.int64), np.frombuffer(row["words"], "<u8"))
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lens) - self.lens
+
+    def grams(self, order: int) -> list[Grams]:
+        """n-grams of 1 to ``order`` words."""
+        n, width = len(self.words), len(self.words) + 1
+        none = np.zeros(0, np.int64)
+        made = [Grams(self.tokens, none, np.arange(n), none, self.words)]
+        for k in range(2, order + 1):
+            before = np.r_[-1, made[-1].at[:-1]]
+            before[self.starts] = n if k == 2 else -1
+            whole = np.flatnonzero(before >= 0)
+            found, first, back = np.unique(before[whole] * width + self.tokens[whole], return_index=True, return_inverse=True)
+            at = np.full(len(self.tokens), -1, np.int64)
+            at[whole] = back
+            prefix, word = found // width, found % width
+            shorter = np.r_[self.words, BEGIN] if k == 2 else made[-1].keys
+            made.append(Grams(at, prefix, word, made[-1].at[whole[first]], mix(shorter[prefix] * U64(0x9E3779B97F4A7C15) + self.words[word])))
+        return made
+
+    def own_counts(self, gram: Grams) -> np.ndarray:
+        """Training tokens by n-gram."""
+        at = gram.at[np.repeat(~self.held, self.lens)]
+        return np.bincount(at[at >= 0], minlength=len(gram.keys))
+
+    def asked(self, gram: Grams, shared: np.ndarray | None) -> np.ndarray:
+        """n-grams that another chunk may have, in order of their hashes; shared: whether one has those one shorter."""
+        some = np.arange(len(gram.keys))
+        if shared is not None:
+            # the last place is for the beginning of a text, which every chunk has
+            some = some[np.r_[shared, True][gram.prefix] & shared[gram.suffix]]
+        return some[np.argsort(gram.keys[some], kind="stable")]
+
+    def totals(self, path: str, grams: list[Grams]) -> tuple[list[np.ndarray], np.ndarray | None]:
+        """Training counts in all chunks of these n-grams, and whether another chunk has those of the last order."""
+        found, shared = [], None
+        for k, gram in enumerate(grams, 1):
+            asked, total = self.asked(gram, shared), self.own_counts(gram)
+            shared = np.zeros(len(total), bool)
+            if len(asked):
+                answer = _answers(f"{path}/{k}/{self.number}", len(asked))
+                total[asked], shared[asked] = answer >> 1, answer & 1
+            found.append(total)
+        return found, shared
 
 
 CHUNKS = "chunk long, ids array<{}>, lens binary, held binary, tokens binary, words binary, n long, n_train long, docs_train long"
@@ -152,86 +205,73 @@ def _slices(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(((sorted_keys >> U64(32)) * U64(buckets)) >> U64(32), np.arange(buckets + 1, dtype=U64))
 
 
-def _sent(buckets: int):
+def _sent(order: int, buckets: int, path: str):
+    """A chunk's items of an order, by bucket: ascending hashes and training counts."""
+
     def run(batches):
         for row in _rows(batches):
             c = Chunk.of(row)
-            train = np.repeat(~c.held, c.lens)
-            counts = np.bincount(c.tokens[train], minlength=len(c.words))
-            yield from emit(row["chunk"], 0, c.words, counts, 8)
-            _, found, back = c.bigrams()
-            counts = np.bincount(back[train], minlength=len(found))
-            keys = c.keys(found)
-            order = np.argsort(keys, kind="stable")
-            yield from emit(row["chunk"], 1, keys[order], counts[order], 5)
-
-    def emit(chunk, kind, keys, counts, width):
-        at = _slices(keys, buckets)
-        own, blobs = [], []
-        for k in np.flatnonzero(np.diff(at)).tolist():
-            a, z = at[k], at[k + 1]
-            low = np.ascontiguousarray(keys[a:z]).view(np.uint8).reshape(-1, 8)[:, :width]
-            own.append(k)
-            blobs.append(np.int64(z - a).tobytes() + low.tobytes() + _squeeze(counts[a:z].astype("<u4")))
-        n = len(own)
-        yield pa.record_batch([pa.array(own, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "chunk", "blob"])
+            grams = c.grams(order)
+            shared = c.totals(path, grams[:-1])[1]
+            asked = c.asked(grams[-1], shared)
+            keys, counts = grams[-1].keys[asked], c.own_counts(grams[-1])[asked].astype("<u4")
+            at, own, blobs = _slices(keys, buckets), [], []
+            for k in np.flatnonzero(np.diff(at)).tolist():
+                steps = _squeeze(np.diff(keys[at[k] : at[k + 1]], prepend=U64(0)))
+                own.append(k)
+                blobs.append(np.int64(len(steps)).tobytes() + steps + _squeeze(counts[at[k] : at[k + 1]]))
+            yield pa.record_batch([pa.array(own, pa.int32()), pa.array([c.number] * len(own), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
     return run
 
 
 def _totals(batches):
-    """Answers each chunk of a bucket: training counts in all chunks of the items it sent, in their order."""
+    """Answers each chunk of a bucket, in the order of the items it sent: 2 * training count in all chunks, and 1 if another chunk has the item."""
 
     def groups():
         now, held = None, []
         for row in _rows(batches):
-            at = row["bucket"], row["kind"]
-            if at != now and held:
+            if row["bucket"] != now and held:
                 yield now, held
                 held = []
-            now = at
+            now = row["bucket"]
             held.append((row["chunk"], row["blob"]))
         if held:
             yield now, held
 
-    for (bucket, kind), held in groups():
-        width = 8 if kind == 0 else 5
-        keys, counts, sizes = [], [], []
+    for bucket, held in groups():
+        keys, counts = [], []
         for _, blob in held:
-            n = int(np.frombuffer(blob, "<i8", 1)[0])
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :width] = np.frombuffer(blob, np.uint8, n * width, 8).reshape(n, width)
-            keys.append(full.view("<u8")[:, 0])
-            counts.append(_unsqueeze(blob[8 + n * width :], "<u4"))
-            sizes.append(n)
-        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+            n = 8 + int(np.frombuffer(blob, "<i8", 1)[0])
+            keys.append(np.cumsum(_unsqueeze(blob[8:n], "<u8"), dtype=U64))
+            counts.append(_unsqueeze(blob[n:], "<u4"))
+        found, back, holders = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         total = np.bincount(back, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
-        seen = int((total > 0).sum()) if kind == 0 else 0
-        at = np.cumsum([0, *sizes])
+        value = (2 * total + (holders > 1)).astype("<u8")
+        at = np.cumsum([0, *map(len, keys)])
         for i, (chunk, _) in enumerate(held):
-            answer = _squeeze(total[back[at[i] : at[i + 1]]].astype("<u8"))
             yield pa.record_batch(
-                [pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([answer], pa.binary()), pa.array([seen if i == 0 else 0], pa.int64())],
-                names=["chunk", "kind", "bucket", "answer", "seen"],
+                [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_squeeze(value[back[at[i] : at[i + 1]]])], pa.binary()), pa.array([int((total > 0).sum()) if i == 0 else 0], pa.int64())],
+                names=["chunk", "bucket", "answer", "seen"],
             )
 
 
 def _filed(path: str):
-    """Writes the answers to a chunk to one file; rows come by chunk, kind and bucket."""
+    """Writes the answers to a chunk to one file; rows come by chunk and bucket."""
 
     def run(batches):
-        now, parts, seen = None, ([], []), 0
+        now, parts, seen = None, [], 0
 
         def close():
-            words, pairs = (np.concatenate(p) if p else np.zeros(0, "<u8") for p in parts)
-            _write(f"{path}/{now}", np.array([len(words)], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(np.r_[words, pairs].astype("<u4" if max(words.max(initial=0), pairs.max(initial=0)) < 2**32 else "<u8").tobytes()))
+            whole = np.concatenate(parts)
+            _write(f"{path}/{now}", zstandard.ZstdCompressor(level=1).compress(whole.astype("<u4" if whole.max() < 2**32 else "<u8").tobytes()))
 
         for row in _rows(batches):
             if row["chunk"] != now:
                 if now is not None:
                     close()
-                now, parts = row["chunk"], ([], [])
-            parts[row["kind"]].append(_unsqueeze(row["answer"], "<u8"))
+                now, parts = row["chunk"], []
+            parts.append(_unsqueeze(row["answer"], "<u8"))
             seen += row["seen"]
         if now is not None:
             close()
@@ -240,12 +280,9 @@ def _filed(path: str):
     return run
 
 
-def _answers(path: str, chunk: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = _read(f"{path}/{chunk}")
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    body = zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=1 << 31)
-    counts = np.frombuffer(body, "<u4" if len(body) == 4 * total else "<u8").astype(np.int64)
-    return counts[:n], counts[n:]
+def _answers(path: str, total: int) -> np.ndarray:
+    body = zstandard.ZstdDecompressor().decompress(_read(path), max_output_size=1 << 31)
+    return np.frombuffer(body, "<u4" if len(body) == 4 * total else "<u8").astype(np.int64)
 
 
 # --- the automaton -------------------------------------------------------------------------
@@ -253,43 +290,96 @@ def _answers(path: str, chunk: int, total: int) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    """What all chunks share: size of the training data, and where the answers lie."""
+    """What all chunks share: size of the training data, smoothing, and where the answers lie."""
 
     n: int
     v: int
     docs: int
-    mu: float
+    mu: tuple[float, ...]
     path: str
 
+    @property
+    def order(self) -> int:
+        return len(self.mu) + 1
 
-class Automaton:
-    """The states that a chunk's documents can visit; state len(words) is the beginning of a document."""
 
-    def __init__(self, model: Model, word_counts: np.ndarray, pair_counts: np.ndarray, pairs: np.ndarray):
-        width = len(word_counts) + 1
-        p = (word_counts + 1) / (model.n + model.v + 1)
-        self.root = np.log10(p)
-        context = np.r_[word_counts, model.docs].astype(float)
-        self.fail = np.log10(model.mu / (context + model.mu))
-        before, word = pairs // width, pairs % width
-        arc = np.log10((pair_counts + model.mu * p[word]) / (context[before] + model.mu))
-        # a bigram that wasn't seen has no arc: its weight is that of the failure arc and the root's arc
-        self.weight = np.where(pair_counts > 0, arc, self.fail[before] + self.root[word])
+class Automaton:
+    """The part of the automaton that a chunk's documents can visit.
+
+    A state is a length and a number: the chunk's n-gram of that many words (0: the root; of
+    length 1, len(words): the beginning of a text). The arc from a state of k words over a token
+    is the (k + 1)-gram that ends there, so arcs are found by number.
+    """
+
+    def __init__(self, model: Model, c: Chunk, grams: list[Grams], totals: list[np.ndarray]):
+        self.grams, self.order, self.begin = grams, model.order, len(c.words)
+        p = (totals[0] + 1) / (model.n + model.v + 1)
+        self.arc, self.seen = [np.log10(p)], [totals[0] > 0]
+        self.fail, self.fail_to = [np.zeros(1)], [np.zeros(1, np.int64)]  # the root has none
+        context = np.r_[totals[0], model.docs].astype(float)
+        for k, mu in enumerate(model.mu, 2):
+            g, total = grams[k - 1], totals[k - 1]
+            p = (total + mu * p[g.suffix]) / (context[g.prefix] + mu)
+            self.arc.append(np.log10(p))
+            self.seen.append(total > 0)
+            self.fail.append(np.log10(mu / (context + mu)))
+            self.fail_to.append(np.zeros(len(context), np.int64) if k == 2 else grams[k - 2].suffix)
+            context = total.astype(float)
+
+    def traverse(self, c: Chunk) -> np.ndarray:
+        """Log10 probability of each token.
+
+        All texts are read side by side, from left to right. A long one is entered at several places, at
+        the root and ORDER - 1 tokens early: what these leave is the state that a reader from the
+        beginning would have, as no state looks further back.
+        """
+        out, early = np.zeros(len(c.tokens)), self.order - 1
+        pieces = -(-c.lens // SPAN)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(c.starts, pieces) + nth * SPAN
+        stop = np.minimum(first + SPAN, np.repeat(c.starts + c.lens, pieces))
+        start = np.where(nth > 0, first - early, first)
+        order = np.argsort(start - stop, kind="stable")
+        start, stop, first = start[order], stop[order], first[order]
+        at_begin = nth[order] == 0
+        length = np.where(at_begin & (early > 0), 1, 0)
+        state = np.where(length == 1, self.begin, 0)
+        size = stop - start
+        for t in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -t, side="left"))  # readers that have a token left
+            at = start[:n] + t
+            k_now, now = length[:n].copy(), state[:n].copy()
+            weight = np.zeros(n)
+            for k in range(self.order - 1, -1, -1):
+                here = np.flatnonzero(k_now == k)
+                arc = self.grams[k].at[at[here]]
+                hit = self.seen[k][arc]
+                take = hit if k else np.ones(len(here), bool)
+                go, by = here[take], arc[take]
+                weight[go] += self.arc[k][by]
+                # to the state that ends with the arc's words: the root after an unseen word
+                if k + 1 < self.order:
+                    length[go], state[go] = np.where(hit[take], k + 1, 0), np.where(hit[take], by, 0)
+                else:
+                    length[go], state[go] = k, self.grams[k].suffix[by] if k else 0
+                lost = here[~take]
+                weight[lost] += self.fail[k][now[lost]]
+                now[lost], k_now[lost] = self.fail_to[k][now[lost]], k - 1
+            own = at >= first[:n]
+            out[at[own]] = weight[own]
+        return out
 
 
 def _scored(model: Model, kind: pa.DataType):
     def run(batches):
         for row in _rows(batches):
             c = Chunk.of(row)
-            _, found, back = c.bigrams()
-            words, sorted_pairs = _answers(model.path, row["chunk"], len(c.words) + len(found))
-            pairs = np.empty(len(found), np.int64)
-            pairs[np.argsort(c.keys(found), kind="stable")] = sorted_pairs
-            own = Automaton(model, words, pairs, found)
-            at = np.r_[0, np.cumsum(c.lens)][:-1]
-            known = np.add.reduceat((words > 0)[c.tokens].astype(np.int64), at)
-            base = np.add.reduceat(own.root[c.tokens], at)
-            score = np.add.reduceat(own.weight[back], at)
+            grams = c.grams(model.order)
+            totals, _ = c.totals(model.path, grams)
+            own = Automaton(model, c, grams, totals)
+            known = np.add.reduceat(own.seen[0][c.tokens].astype(np.int64), c.starts)
+            base = np.add.reduceat(own.arc[0][c.tokens], c.starts)
+            score = np.add.reduceat(own.traverse(c), c.starts)
             n = len(c.lens)
             for i in range(0, n, 4096):
                 z = slice(i, min(n, i + 4096))
@@ -302,22 +392,24 @@ def _scored(model: Model, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[str], bool] = default_held_out, mu: float = MU) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[str], bool] = default_held_out, mu: tuple[float, ...] = MU) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; len(mu) + 1 is the order."""
     spark = docs.sparkSession
     prepare(spark)
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
     arrow = keyed.select("id").limit(0).toArrow().schema.field(0).type
-    made = cut(keyed.mapInArrow(_chunked(held_out, arrow), CHUNKS.format(kind)), "chunks")
+    made = cut(keyed.mapInArrow(_chunked(held_out, arrow, CHUNK), CHUNKS.format(kind)), "chunks")
     size = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_train", "docs_train")]).first()
     buckets = max(64, math.ceil(size["n"] / BUCKET))
     path = scratch(spark, "answers")
-    fs, at = _fs(path)
-    fs.create_dir(at, recursive=True)
-    items = made.mapInArrow(_sent(buckets), "bucket int, kind int, chunk long, blob binary").repartition("bucket").sortWithinPartitions("bucket", "kind")
-    answers = items.mapInArrow(_totals, "chunk long, kind int, bucket int, answer binary, seen long")
-    filed = answers.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_filed(path), "seen long")
-    seen = filed.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
-    model = Model(size["n_train"], seen, size["docs_train"], mu, path)
+    seen = []
+    for order in range(1, len(mu) + 2):
+        fs, at = _fs(f"{path}/{order}")
+        fs.create_dir(at, recursive=True)
+        items = made.mapInArrow(_sent(order, buckets, path), "bucket int, chunk long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+        answers = items.mapInArrow(_totals, "chunk long, bucket int, answer binary, seen long")
+        filed = answers.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_filed(f"{path}/{order}"), "seen long")
+        seen.append(filed.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
+    model = Model(size["n_train"], seen[0], size["docs_train"], tuple(mu), path)
     return made.mapInArrow(_scored(model, arrow), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
