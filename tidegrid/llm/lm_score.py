@@ -48,7 +48,7 @@ from .token_store import _fs, _read, _write
 from .words import U64, Words, chunks, mix
 
 #: Weight of the shorter context for each order from 2 on, and the words of the longest n-grams.
-MU = (100.0, 100.0)
+MU = (300.0, 30.0)
 ORDER = len(MU) + 1
 END = U64(0x1F83D9ABFB41BD6B)
 BEGIN = U64(0x5BE0CD19137E2179)
