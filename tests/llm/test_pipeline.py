@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tidegrid.llm import packing
+from tidegrid.llm import ngram_join, packing
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,35 @@ def test_stages_take_effect(spark, sf):
 
 def test_run_covers_all_stages(spark, sf):
     assert cp.run(spark, sf).count() >= 25
+
+
+def test_near_duplicates_are_told_apart_by_row(spark, sf):
+    a = " ".join(f"river{i}" for i in range(30))
+    b = " ".join(f"mountain{i}" for i in range(30))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (None, a, "n"), (None, b + " end", "n"), (7, "", "e"), (7, "", "e"), (9, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.text, r.lang) for r in ngram_join.keep_one(docs.where("text <> ''")).collect())
+    assert got == [(1, a, "x"), (5, b, "z")]
+    assert ngram_join.keep_one(docs).where("text = '' or text is null").count() == 3
+    # rows equal in id and text: one stays, the least by the other columns
+    twice = spark.createDataFrame([(3, a, "q"), (3, a, "p"), (4, b, "r")], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, ngram_join.keep_one(twice).collect())) == [(3, a, "p"), (4, b, "r")]
+
+
+def test_columns_with_names_of_the_operators_stay(spark, sf):
+    names = ["kept", "n_words", "content_share", "spans", "n_hit", "items", "contaminated", "__text", "low", "text_hash", "__k1", "a.b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 20")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name + " "), F.col("doc_id")))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        rows = out.collect()
+        assert len(rows) >= 15 and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    assert cp.STAGES[-1][1](spark, docs, sf).count() >= 20
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3])
+def test_stages_over_nothing(spark, sf, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [stage(spark, docs, sf).count() for _, stage in cp.STAGES] == [0, len(rows), len(rows), len(rows), len(rows)]

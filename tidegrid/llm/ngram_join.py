@@ -49,11 +49,12 @@ N2, K2, SLACK = 3, 1, 1.2
 HIST, PARITY = 64, 2048
 #: Star rounds go on while a round links at least this share of the pairs it compares, ROUNDS at most.
 GAIN, ROUNDS = 0.02, 4
-DEBUG = False
 #: Shingles or signatures a task holds at once, and aimed at in a bucket.
 HELD = 2_000_000
 #: Rows of ids that are broadcast at most; a shuffled join serves beyond it.
 BROADCAST_ROWS = 500_000
+#: A key with more rows than this, and than a HOT_KEYS-th of all, is joined by broadcast.
+HOT_ROWS, HOT_KEYS = 2_000, 100_000
 CHOICES = list(combinations(range(N2), N2 - K2))
 
 
@@ -119,8 +120,9 @@ def _describe(share: float, size: int):
                     pa.array([len(_sampled(s, share)) for s in sets], pa.int64()),
                     pa.array(_signed([_sid(s) for s in sets])),
                     pa.array(_signed([_identity(s)[1] for s in sets])),
+                    b.column("text_hash"),
                 ],
-                names=["doc_id", "n", "m", "sid", "check"],
+                names=["doc_id", "n", "m", "sid", "check", "text_hash"],
             )
 
     return run
@@ -525,7 +527,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the smallest node of its component.
+    """(node, root) of every node of edges (a, b) that isn't a root: root is the smallest node of its component.
 
     Alternates large stars (all greater neighbours of a node move to its smallest)
     and small stars (all smaller neighbours) until nothing changes; a hot node's
@@ -551,13 +553,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc_id, n, sid of every row (sid: its class of equal sets);
-    links are verified edges (a, b) between classes that join up all linked classes."""
+    """(members, links): members has doc_id, n, sid and text_hash (Spark's xxhash64) of every row (sid: its class of
+    equal sets); links are verified edges (a, b) between classes that join up all linked classes."""
     spark = docs.sparkSession
     prepare(spark)
     text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = text.schema["doc_id"].dataType.simpleString()
-    members = cut(text.mapInArrow(_describe(SHARE, size), f"doc_id {kind}, n long, m long, sid long, `check` long"), "sets")
+    hashed = text.withColumn("text_hash", F.xxhash64("text"))
+    members = cut(hashed.mapInArrow(_describe(SHARE, size), f"doc_id {kind}, n long, m long, sid long, `check` long, text_hash long"), "sets")
     classes = members.where("n > 0").groupBy("sid", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("m").alias("m"))
     total = members.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
 
@@ -615,16 +618,13 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         n_pairs = pairs.count()
-        if DEBUG:
-            print("round", turn, "cross" if cross else "star", "met", met.count(), "pairs", n_pairs, "alive", None if alive is None else n_alive, flush=True)
         if n_pairs:
             new = cut(_verify(pairs, sets, (3, 4)), "links")
             n_new = new.count()
-            if DEBUG:
-                print("   new links", n_new, flush=True)
             if n_new:
                 links = links.unionByName(new)
-                roots = components(links)
+                # the components so far stand for the links that made them
+                roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         else:
             n_new = 0
         release(spark)
@@ -642,13 +642,65 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return members, links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
+def _spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows inner join table (one row a key, ``count``: how many rows have it), without a hot key in one task.
+
+    Keys above a count that HOT_KEYS of them at most can have are broadcast; the others are shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    heavy = F.broadcast(table.where(hot).drop(count))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(table.where(~hot).drop(count), keys)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class (of the row's set), component and low of every row.
+
+    component names the group of linked classes (null for an empty set), low is the smallest
+    doc_id in it (that of the row itself for an empty set).
+    """
     members, links = link_classes(docs, id_col, text_col, size)
+    full = members.where("n > 0")
+    classes = cut(full.groupBy("sid", "check").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")), "classes")
     roots = components(links)
-    classes = members.where("n > 0").groupBy("sid", "check").agg(F.min("doc_id").alias("low"))
-    classes = classes.join(roots, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid"))
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "comp").select("sid", "check", "component_id")
-    named = members.where("n > 0").join(classes, ["sid", "check"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return named.unionByName(members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    roots = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    # classes without a link are by themselves; of the others, the least id of a root's classes
+    linked = classes.join(roots, F.col("sid") == F.col("node")).select("sid", "check", "low", "k", "root")
+    lows = linked.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("n_classes"))
+    linked = _spread_join(linked, cut(lows, "lows"), ["root"], "n_classes").select("sid", "check", F.col("root").alias("component"), F.col("least").alias("low"), "k")
+    alone = classes.join(roots, F.col("sid") == F.col("node"), "left_anti").select("sid", "check", F.col("sid").alias("component"), "low", "k")
+    named = _spread_join(full, cut(alone.unionByName(linked), "named"), ["sid", "check"], "k")
+    named = named.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("sid").alias("class"), "component", "low")
+    none = F.lit(None).cast("long")
+    return named.unionByName(members.where("n = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), none.alias("class"), none.alias("component"), F.col("doc_id").alias("low")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
+    return groups(docs, id_col, text_col, size).select("doc_id", "n_shingles", F.col("low").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of docs without near duplicates: of each group of linked rows one stays, that with the smallest id.
+
+    Rows are told apart by id and text, never by id alone: of several with the smallest id, the one whose text
+    hashes lowest stays; of rows equal in both, the least by the other columns. Ids that are null come last. Rows
+    without words link with nothing and all stay.
+    """
+    found = cut(groups(docs, id_col, text_col, size).where("component is not null").select("doc_id", "text_hash", "component", "low"), "groups")
+    first = found.where("doc_id <=> low").groupBy("component").agg(F.min("text_hash").alias("text_hash"))
+    stays = found.where("doc_id <=> low").join(first, ["component", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    stays = cut(stays.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    dropped = cut(found.join(stays, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "dropped")
+    again = stays.where("n > 1").select("__id", "__hash")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    row = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash"))
+    kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, row, "left_anti").select(*columns)
+    if again.isEmpty():
+        return kept
+    equal = kept.join(again, row).groupBy("__id", "__hash").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*rest)) if rest else F.lit(0)).alias("row"))
+    return kept.join(again, row, "left_anti").select(*columns).unionByName(equal.select("row.*"))

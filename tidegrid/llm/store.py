@@ -14,6 +14,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
 _own: dict[str, str] = {}
@@ -23,10 +24,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a local one of our own only where none is set."""
+    """URI of the shared folder; a local one of our own only where none is set and all executors are in this process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
@@ -46,8 +49,25 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows (all, if fewer) by a hash of ``keys``, the same whatever the layout.
+
+    The rows are cut by a threshold on the hash before they are sorted, one that about
+    2 n rows pass, so what tasks hand on doesn't grow with the input.
+    """
+    by = F.xxhash64(*keys)
+    share = (2 * n + 1000) / max(1, df.count())
+    few = df.where(by < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else df
+    if share < 1 and len(few.limit(n).select(F.lit(1)).take(n)) < n:  # keys repeat so much that few of them are low
+        few = df
+    return few.orderBy(by, *keys).limit(n)
+
+
 def prepare(spark: SparkSession, records: int = 512) -> None:
-    """Bound Arrow batches (texts may be long) and make the package importable on workers."""
+    """Bound Arrow batches (texts may be long) and make the package importable on workers.
+
+    The settings stay for the session, as plans read them when they run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > records:
         spark.conf.set(key, str(records))
@@ -66,6 +86,9 @@ def prepare(spark: SparkSession, records: int = 512) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of tables that have been cut and are no longer held."""
+    """Let Spark's cleaner drop the shuffle files of tables that have been cut and are no longer held.
+
+    The cleaner acts on what the JVM has collected; else files of finished rounds fill the executors' disks.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
