@@ -2,54 +2,65 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, whatever their names: while an operator runs, columns that it
+doesn't read have names of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontamination, ngram_join, packing, quality_rules, secret_scan
 from tidegrid.llm.queries import table
-from tidegrid.llm.store import cut, scratch
+from tidegrid.llm.store import scratch
 from tidegrid.llm.tokenizer import public_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+READ = ("doc_id", "text", "n_chars")
+
+
+def keeps_columns(stage: Stage) -> Stage:
+    """Renames all columns that stages don't read while the stage runs, so that none clashes with what it adds."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = docs.toDF(*[c if c in READ else f"__column_{k}" for k, c in enumerate(docs.columns)])
+        return stage(spark, own, sf_dir).select(*own.columns).toDF(*docs.columns)
+
+    return run
+
+
+@keeps_columns
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. The model is fitted on the labelled ones among docs."""
     crf = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, crf).where("kept").select(*docs.columns)
+    return quality_rules.score(docs, crf).where("kept")
 
 
+@keeps_columns
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id.
-
-    Rows that repeat a doc_id count as one document, the first by its text; rows
-    without a doc_id can't be told apart by id and stay.
-    """
-    found = cut(ngram_join.near_duplicates(docs), "groups")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    few = dropped.count() <= ngram_join.BROADCAST_ROWS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("doc_id", "row.*").select(*docs.columns))
+    """One row of each group of linked ones, that with the smallest doc_id; rows are told apart by id and text."""
+    return ngram_join.keep_one(docs)
 
 
+@keeps_columns
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by a benchmark item."""
-    return decontamination.mark(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return decontamination.mark(docs, table(spark, sf_dir, "benchmark")).where("not contaminated")
 
 
+@keeps_columns
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in the place of each secret; n_chars follows the text."""
     out = secret_scan.scan(docs, secret_scan.fit(docs), redact="[SECRET]")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
