@@ -53,7 +53,7 @@ ORDER = len(MU) + 1
 END = U64(0x1F83D9ABFB41BD6B)
 BEGIN = U64(0x5BE0CD19137E2179)
 #: Tokens of a chunk, and items aimed at in a bucket.
-CHUNK, BUCKET = 2_000_000, 1_500_000
+CHUNK, BUCKET = 1_000_000, 1_000_000
 #: Tokens that one reader of a long text takes.
 SPAN = 512
 
@@ -117,6 +117,16 @@ def _chunked(held_out: Callable[[str], bool], kind: pa.DataType, limit: int):
     return run
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct values, a place of each, and the number of each element's value."""
+    order = np.argsort(x)
+    ascending = x[order]
+    new = np.r_[np.ones(min(1, len(x)), bool), ascending[1:] != ascending[:-1]]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ascending[new], order[new], back
+
+
 @dataclass
 class Grams:
     """The distinct n-grams of one order in a chunk."""
@@ -155,7 +165,7 @@ class Chunk:
             before = np.r_[-1, made[-1].at[:-1]]
             before[self.starts] = n if k == 2 else -1
             whole = np.flatnonzero(before >= 0)
-            found, first, back = np.unique(before[whole] * width + self.tokens[whole], return_index=True, return_inverse=True)
+            found, first, back = _numbered(before[whole] * width + self.tokens[whole])
             at = np.full(len(self.tokens), -1, np.int64)
             at[whole] = back
             prefix, word = found // width, found % width
@@ -174,7 +184,7 @@ class Chunk:
         if shared is not None:
             # the last place is for the beginning of a text, which every chunk has
             some = some[np.r_[shared, True][gram.prefix] & shared[gram.suffix]]
-        return some[np.argsort(gram.keys[some], kind="stable")]
+        return some[np.argsort(gram.keys[some])]
 
     def totals(self, path: str, grams: list[Grams]) -> tuple[list[np.ndarray], np.ndarray | None]:
         """Training counts in all chunks of these n-grams, and whether another chunk has those of the last order."""
@@ -245,7 +255,8 @@ def _totals(batches):
             n = 8 + int(np.frombuffer(blob, "<i8", 1)[0])
             keys.append(np.cumsum(_unsqueeze(blob[8:n], "<u8"), dtype=U64))
             counts.append(_unsqueeze(blob[n:], "<u4"))
-        found, back, holders = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        found, _, back = _numbered(np.concatenate(keys))
+        holders = np.bincount(back)
         total = np.bincount(back, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
         value = (2 * total + (holders > 1)).astype("<u8")
         at = np.cumsum([0, *map(len, keys)])
