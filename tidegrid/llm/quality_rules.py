@@ -4,9 +4,16 @@ Viterbi decoding runs over the lines of a document; the share of its words that
 lie in content lines decides whether it stays. Plain counts (words, symbols,
 repeated lines and windows) form a base rule that rejects on its own.
 
+Labels name whole documents, not lines. The fit starts from lines that have the label
+of their document, one by one, and then takes turns: lines are decoded under the model
+so far, in their order in the document, where a document's label must stay true of the
+larger part of its words (else all its lines have the label); and emissions and
+transitions are fitted on these lines in their order.
+
 Defined results: null or empty text has no words, lines or counts and fails the
-base rule; each row is judged on its own, so repeated rows get equal results;
-columns of the input other than the id and text are ignored here.
+base rule; each row is judged on its own, so repeated rows get equal results; for the
+fit an id counts once, with the text whose hash is lowest. A column of docs with the
+name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import LinearChainCRF
-from .store import prepare
+from .store import first_by_hash, prepare
 from .words import Words, chunks, mix, rolling, span_hashes, sums_between
 
 SYMBOLS = b"#*$%&|<>"
@@ -26,8 +33,10 @@ MAX_REPEAT_PERCENT = 20
 MIN_CONTENT_SHARE = 0.5
 #: At most so many labelled documents of either class are used to fit, none over so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 800, 200_000
+#: Turns of decoding and fitting.
+TURNS = 2
 N_FEATURES = 16
-FIT_SCHEMA = "quality int, repeated binary, features binary"
+FIT_SCHEMA = "quality int, n_words binary, features binary"
 
 
 def _is(buf: np.ndarray, chars: bytes) -> np.ndarray:
@@ -116,65 +125,46 @@ def _learn_batches(batches):
         x = lines.features(lines.words.hashes())
         at = lines.bounds
         cut = lambda a: [a[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-        yield pa.record_batch([b.column("quality"), pa.array(cut(lines.repeated), pa.binary()), pa.array(cut(x), pa.binary())], names=["quality", "repeated", "features"])
+        yield pa.record_batch([b.column("quality"), pa.array(cut(lines.n_words.astype("<i8")), pa.binary()), pa.array(cut(x), pa.binary())], names=["quality", "n_words", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", train_docs: int = TRAIN_DOCS) -> LinearChainCRF | None:
     """Fit on at most ``train_docs`` labelled documents of either class, the first by a hash of their id.
 
-    Lines of low-quality documents, and repeated lines, count as boilerplate.
     None when no document is labelled: then each line counts as content.
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("quality")).where("id is not null and quality in (0, 1)")
     known = known.groupBy("id").agg(F.min("quality").alias("quality"))
-    by = [F.xxhash64("id"), "id"]
-    few = known.where("quality = 0").orderBy(*by).limit(train_docs).unionAll(known.where("quality = 1").orderBy(*by).limit(train_docs))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
-    # the broadcast side has 2 * train_docs rows at most
-    rows = text.join(F.broadcast(few), "id").select("quality", "text").mapInArrow(_learn_batches, FIT_SCHEMA).collect()
+    few = first_by_hash(known.where("quality = 0"), ["id"], train_docs).unionAll(first_by_hash(known.where("quality = 1"), ["id"], train_docs))
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
+    # the broadcast side has 2 * train_docs rows at most, and an id gives one row
+    one = text.join(F.broadcast(few), "id").groupBy("id").agg(F.first("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("quality", "text").mapInArrow(_learn_batches, FIT_SCHEMA).collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["features"])))
-    xs, ys = [], []
-    for r in rows[: 2 * train_docs]:
-        x = np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES)
-        if len(x):
-            xs.append(x)
-            ys.append(np.frombuffer(r["repeated"], bool) | (r["quality"] == 0))
-    if not xs:
+    rows = [r for r in rows if r["features"]]
+    if not rows:
         return None
-    return LinearChainCRF.fit(*_spliced(xs, ys), 2)
-
-
-def _spliced(xs: list[np.ndarray], ys: list[np.ndarray]):
-    """Training sequences in which runs of good and of bad lines alternate.
-
-    A label holds for a whole document, so documents as they are would teach that
-    labels never change; runs of 1 to 6 lines, cut in turn from documents of
-    either class, leave the decision to what the lines look like.
-    """
-    rng = np.random.default_rng(5)
-    bad = [i for i, y in enumerate(ys) if y.mean() > 0.5]
-    good = [i for i, y in enumerate(ys) if y.mean() <= 0.5]
-    if not bad or not good:
-        order, cuts = [(i, 0, len(ys[i])) for i in good + bad], np.cumsum([0] + [len(ys[i]) for i in good + bad])
-    else:
-        order, lengths = [], []
-        at = {i: 0 for i in good + bad}
-        for k in range(max(len(good), len(bad))):
-            pair, size = (good[k % len(good)], bad[k % len(bad)]), 0
-            at[pair[0]] = at[pair[1]] = 0
-            while any(at[i] < len(ys[i]) for i in pair):
-                for i in pair:
-                    take = min(int(rng.integers(1, 7)), len(ys[i]) - at[i])
-                    if take:
-                        order.append((i, at[i], at[i] + take))
-                        at[i] += take
-                        size += take
-            lengths.append(size)
-        cuts = np.cumsum([0] + lengths)
-    x = np.concatenate([xs[i][a:b] for i, a, b in order]).astype(float)
-    y = np.concatenate([ys[i][a:b] for i, a, b in order]).astype(int)
-    return x, y, cuts
+    xs = [np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES) for r in rows]
+    bounds = np.cumsum([0] + [len(x) for x in xs])
+    words = np.concatenate([np.frombuffer(r["n_words"], "<i8") for r in rows])
+    return fit_lines(np.concatenate(xs).astype(float), words, np.array([r["quality"] == 0 for r in rows]), bounds)
+
+
+def fit_lines(x: np.ndarray, words: np.ndarray, bad: np.ndarray, bounds: np.ndarray, turns: int = TURNS) -> LinearChainCRF:
+    """A chain from the lines of labelled documents: features and words of lines, bad of documents."""
+    size = np.diff(bounds)
+    doc = np.repeat(np.arange(len(size)), size)
+    label = bad[doc].astype(int)
+    crf = LinearChainCRF.fit(x, label, np.arange(len(x) + 1), 2)  # each line for itself
+    at = np.arange(len(x) + 1)
+    for _ in range(turns):
+        tags = crf.decode(x @ crf.emit, at)
+        agree = np.bincount(doc, weights=words * (tags == label), minlength=len(size))
+        broken = 2 * agree < np.bincount(doc, weights=words, minlength=len(size))
+        tags = np.where(broken[doc], label, tags)
+        crf, at = LinearChainCRF.fit(x, tags, bounds, 2), bounds
+    return crf
 
 
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, content_words long, content_share double, base_failed boolean, kept boolean"
