@@ -3,10 +3,13 @@
 Categories are predicted one after another; each linear model sees the word
 features and the probabilities of the categories before it. For training, those
 probabilities are out of fold: each comes from a model that hasn't seen the
-document, so later links learn from what they will meet.
+document, nor another with the same features unless these are very common, so
+later links learn from what they will meet.
 
 The labelled data name only toxic or not. The categories before the last are
-weak ones: toxic documents with a word of a seed list; the last is the label.
+weak ones: toxic documents with a word of a seed list; the last is the label. Their
+models thus predict a function of features they see; only the last has a label of
+its own.
 
 Features are words of whole texts, lower-cased (A-Z), without outer points, hashed
 to DIM buckets, each counted once a document. Which buckets matter is found over
@@ -14,11 +17,14 @@ all labelled documents by counts of toxic and other documents, a table of DIM ro
 at most; the models are fitted on a bounded sample.
 
 Defined results: null or empty text has no words and gets the models' bias;
-repeated rows get equal results; without labels of both classes nothing is toxic.
+repeated rows get equal results, and for the fit an id counts once, with the text
+whose hash is lowest; where both classes aren't labelled among the rows, nothing is
+toxic. A column of docs with the name of an added one is replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import prepare
+from .store import first_by_hash, prepare
 from .words import U64, Words, chunks, span_hashes
 
 DIM = 1 << 18
@@ -39,7 +45,6 @@ TRAIN_DOCS = 6_000
 BROADCAST_ROWS = 500_000
 FOLDS = 4
 THRESHOLD = 0.5
-OUTER = 6
 #: Seed words of the weak categories.
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"),
@@ -56,11 +61,13 @@ def _mark(b: np.ndarray) -> np.ndarray:
 def buckets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every distinct word bucket of each text, in order."""
     w = Words(texts, lower=True)
-    s, e = w.starts.copy(), w.ends.copy()
-    # outer ASCII marks go, up to OUTER on either side, as long as a character stays
-    for _ in range(OUTER if len(s) else 0):
-        e = e - (_mark(w.buf[e - 1]) & (e - s > 1))
-        s = s + (_mark(w.buf[s]) & (e - s > 1))
+    s, e = w.starts, w.ends
+    # outer ASCII marks go, however many; a word of marks alone stays as it is
+    solid = np.flatnonzero(~_mark(w.buf))
+    low, high = np.searchsorted(solid, s), np.searchsorted(solid, e)
+    some = high > low
+    if some.any():
+        s, e = np.where(some, solid[np.minimum(low, len(solid) - 1)], s), np.where(some, solid[high - 1] + 1, e)
     code = np.unique(w.owner() * DIM + (span_hashes(w.buf, s, e) >> U64(40)).astype(np.int64) % DIM)
     return code // DIM, code % DIM
 
@@ -109,10 +116,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 25) -
     return w
 
 
+def folds_of(x: np.ndarray, folds: int) -> np.ndarray:
+    """A fold for each row, the same for equal rows, by a hash of them; rows that alone would fill half a fold are
+    dealt out in turn, as a model without any of them (such as: no feature at all) would not know the usual case."""
+    _, first, same, size = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    same = same.ravel()
+    fold = np.array([zlib.crc32(np.asarray(x[i], float).tobytes()) % folds for i in first], int)[same]
+    large = (2 * folds * size > len(x))[same]
+    fold[large] = np.arange(int(large.sum())) % folds
+    return fold
+
+
 def fit_chain(x: np.ndarray, labels: np.ndarray, selected: np.ndarray, folds: int = FOLDS) -> Chain:
     """labels: rows x categories, in the order of the chain."""
     chain, before = Chain(selected), np.zeros((len(x), 0))
-    fold = np.arange(len(x)) % folds
+    fold = folds_of(x, folds)
     for k in range(labels.shape[1]):
         rows, y = np.c_[x, before, np.ones(len(x))], labels[:, k]
         out = np.zeros(len(x))
@@ -152,8 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seeds = {c: seed_buckets(w) for c, w in SEEDS.items()}
     top = [r[0] for r in counts.where("n1 >= 3").where(z >= MIN_Z).orderBy(z.desc(), "bucket").limit(SELECTED).collect()]
     selected = np.array(sorted({*top, *(b for s in seeds.values() for b in s)}), np.int64)
-    by = [F.xxhash64("id"), "id"]
-    few = known.where("toxic = 1").orderBy(*by).limit(train_docs).unionAll(known.where("toxic = 0").orderBy(*by).limit(train_docs))
+    few = first_by_hash(known.where("toxic = 1"), ["id"], train_docs).unionAll(first_by_hash(known.where("toxic = 0"), ["id"], train_docs))
     empty = Chain(selected)
 
     def rows(batches):
@@ -161,8 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = empty.features(b.column("text")).astype(bool)
             yield pa.record_batch([b.column("toxic"), pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], names=["toxic", "x"])
 
-    # the broadcast side has 2 * train_docs rows at most, and a row is a few dozen bytes
-    got = text.join(F.broadcast(few), "id").select("toxic", "text").mapInArrow(rows, "toxic int, x binary").limit(4 * train_docs).collect()
+    # the broadcast side has 2 * train_docs rows at most; an id gives one row of a few dozen bytes
+    one = text.join(F.broadcast(few), "id").groupBy("id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.select("toxic", "text").mapInArrow(rows, "toxic int, x binary").collect()
+    if not got:
+        return None
     got = sorted((bytes(r["x"]), r["toxic"]) for r in got)
     x = np.unpackbits(np.frombuffer(b"".join(g[0] for g in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(selected)].astype(float)
     toxic = np.array([g[1] for g in got], float)
