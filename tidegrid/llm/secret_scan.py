@@ -5,17 +5,23 @@ CRF is fitted on their spans in a bounded sample and tags tokens by shape,
 neighbouring tokens and file features, decoded by Viterbi; spans it finds beside
 those of the patterns are added as kind ``crf``. Tokens without the shape of a
 secret (8 or more characters with a digit or inner capitals) are outside by
-definition, and the chain is decoded on the text within REACH characters of
-shaped tokens; that covers every place where a tag other than outside can stand.
+definition, but for a point or colon that goes on a secret; inside never follows
+outside. The chain thus falls into parts between tokens that are outside, and is
+decoded on the parts about shaped tokens only, each with the whole tokens its
+features look at and beginning with an outside token (or the text): the tags are
+those of Viterbi over all tokens of the text.
 
 Defined results: null or empty text has no spans; rows are judged one by one, so
-repeated rows get equal results. Offsets count code points, the end is exclusive.
+repeated rows get equal results; for the fit an id counts once, with the text whose
+hash is lowest. Offsets count code points, the end is exclusive. A column of docs
+named ``spans`` is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import LinearChainCRF
-from .store import prepare
+from .store import first_by_hash, prepare
 from .words import buffer_of, chunks
 
 # The patterns and their least lengths.
@@ -36,10 +42,11 @@ KINDS = ("assign", "access", "hex", "crf")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 NEAR_WORD = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer", re.I)
-REACH = 80
+#: Tokens before a token that its features look at.
+BACK = 4
 MIN_CRF = 12
-#: Documents, first by a hash of their id, that the fit sees at most.
-TRAIN_DOCS = 6_000
+#: Documents, first by a hash of their id, that the fit sees at most, none over so many characters.
+TRAIN_DOCS, TRAIN_CHARS = 6_000, 200_000
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 N_FEATURES = 28
 
@@ -65,8 +72,8 @@ def _runs_at_least(mask: np.ndarray, least: int) -> np.ndarray:
     return np.stack([start[long] - 1, end[long] - 1], 1)
 
 
-def _candidates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """By text: whether it has a long hexadecimal run; whether a keyword may stand there; byte places of shaped tokens."""
+def _candidates(texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+    """By text: whether it has a long hexadecimal run; places of its shaped tokens, ascending, in code points."""
     buf, off = buffer_of(texts)
     # a byte that no pattern takes ends each text, so that no run joins two
     buf, off = np.insert(buf, off[1:], 10), off + np.arange(len(off))
@@ -87,10 +94,12 @@ def _candidates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]
         np.cumsum(np.r_[False, inner][: len(buf)], out=total[1, 1:])
         s, e = tokens[:, 0], tokens[:, 1]
         shaped = (total[0, e] > total[0, s]) | (total[1, e] > total[1, np.minimum(s + 1, e)])
+        s = s[shaped]
         owner = np.searchsorted(off, s, side="right") - 1
-        for d, at in zip(owner[shaped].tolist(), s[shaped].tolist()):
-            places[d].append(at - int(off[d]))
-    return hexes, buf, places
+        points = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
+        for d, at in zip(owner.tolist(), (points[s] - points[off[owner]]).tolist()):
+            places[d].append(at)
+    return hexes, places
 
 
 def _entropy(s: str) -> float:
@@ -124,7 +133,7 @@ def _features(tokens: list[tuple[int, int, str]], text: str, file: tuple[float,
             row[14], row[15], row[16] = e > 2.5, e > 3.2, e > 3.8
             kind = ["d" if "0" <= c <= "9" else "u" if "A" <= c <= "Z" else "l" for c in t]
             row[17] = sum(a != b for a, b in zip(kind, kind[1:])) / n
-        back = words[max(0, i - 4) : i]
+        back = words[max(0, i - BACK) : i]
         row[18] = bool(back) and back[-1] in (":", "=")
         row[19] = any(NEAR_WORD.search(b) for b in back)
         row[20] = bool(back) and back[-1] in ('"', "'")
@@ -142,35 +151,42 @@ def _file(text: str) -> tuple[float, float, float]:
     return min(1.0, 200 * text.count("=") / n), min(1.0, 200 * (text.count("{") + text.count("}")) / n), min(1.0, 100 * text.count('"') / n)
 
 
+def _goes_on(t: str) -> bool:
+    """Whether a token may be inside of a secret."""
+    return t in (".", ":") or _shaped(t)
+
+
+def _lead(text: str, place: int, least: int) -> int:
+    """Where to begin so that BACK tokens or more come before ``place``, the first of them outside; ``least`` if there aren't so many."""
+    reach = 64
+    while True:
+        lo = max(least, place - reach)
+        # tokens backward; the farthest may be cut, so it counts only at ``least``
+        found = [(place - m.end(), m[0][::-1]) for m in TOKEN.finditer(text[lo:place][::-1])]
+        if lo > least:
+            found = found[:-1]
+        for k in range(BACK - 1, len(found)):
+            if not _goes_on(found[k][1]):
+                return found[k][0]
+        if lo == least:
+            return least
+        reach *= 4
+
+
 def _sequences(text: str, places: list[int]):
-    """Token lists (start, end, token) about the given places (code points)."""
-    at = 0
-    windows: list[list[int]] = []
-    for p in sorted(places):
-        lo, hi = max(0, p - REACH), min(len(text), p + REACH)
-        if windows and lo <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], hi)
-        else:
-            windows.append([lo, hi])
-    for lo, hi in windows:
-        # whole tokens at both ends
-        while lo > at and not text[lo - 1].isspace():
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        lo = max(lo, at)
-        at = hi
-        tokens = [(lo + m.start(), lo + m.end(), m[0]) for m in TOKEN.finditer(text[lo:hi])]
-        if tokens:
-            yield tokens
-
-
-def _points(text: str, places: list[int]) -> list[int]:
-    """Byte places as code points."""
-    if text.isascii():
-        return places
-    raw = text.encode()
-    return [len(raw[:p].decode(errors="ignore")) for p in places]
+    """Token lists (start, end, token) about the given places of shaped tokens."""
+    k, at = 0, 0
+    while k < len(places):
+        tokens: list[tuple[int, int, str]] = []
+        last = places[k]
+        for m in TOKEN.finditer(text, _lead(text, places[k], at)):
+            tokens.append((m.start(), m.end(), m[0]))
+            at = m.end()
+            if k < len(places) and places[k] < at:
+                k, last = k + 1, at
+            elif not _goes_on(m[0]) and m.start() >= last and (k == len(places) or _lead(text, places[k], last) >= at):
+                break  # outside, and what the next shaped token looks back to comes later
+        yield tokens
 
 
 def _labels(tokens, spans) -> np.ndarray:
@@ -188,14 +204,14 @@ def _labels(tokens, spans) -> np.ndarray:
 
 def _learn(batches):
     for b in chunks(batches, "text"):
-        _, _, places = _candidates(b.column("text"))
+        _, places = _candidates(b.column("text"))
         xs, ys = [], []
         for text, at in zip(b.column("text").to_pylist(), places):
             if not text or not at:
                 continue
             spans = base_spans(text)
             file = _file(text)
-            for tokens in _sequences(text, _points(text, at)):
+            for tokens in _sequences(text, at):
                 xs.append(_features(tokens, text, file).tobytes())
                 ys.append(_labels(tokens, spans).tobytes())
         yield pa.record_batch([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
@@ -207,9 +223,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     None when the sample has no span: then the patterns stand alone.
     """
     prepare(docs.sparkSession)
-    ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(train_docs).distinct()
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text").between(1, 200_000))
-    rows = text.join(F.broadcast(ids), "id").select("text").mapInArrow(_learn, "x binary, y binary").collect()
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+    ids = first_by_hash(text.select("id"), ["id"], train_docs).distinct()
+    # the broadcast side has train_docs rows at most, and an id gives one text
+    one = text.where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("text").mapInArrow(_learn, "x binary, y binary").collect()
     rows = sorted((bytes(r["y"]), bytes(r["x"])) for r in rows)
     ys = [np.frombuffer(y, np.int8) for y, _ in rows]
     if not any(y.any() for y in ys):
@@ -219,9 +237,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     return LinearChainCRF.fit(x, np.concatenate(ys).astype(int), bounds, 3)
 
 
+def _emissions(crf: LinearChainCRF, x: np.ndarray, tokens: list[str]) -> np.ndarray:
+    """Emissions, without the tags that a token can't have."""
+    e = x.astype(float) @ crf.emit
+    shaped = np.array([_shaped(t) for t in tokens], bool)
+    e[~shaped, BEGIN] = -1e9
+    e[~(shaped | np.array([t in (".", ":") for t in tokens], bool)), INSIDE] = -1e9
+    return e
+
+
+def _bound(crf: LinearChainCRF) -> LinearChainCRF:
+    """The chain with inside only after begin or inside."""
+    step, first = crf.step.copy(), crf.first.copy()
+    step[OUTSIDE, INSIDE] = first[INSIDE] = -1e9
+    return LinearChainCRF(crf.emit, step, first)
+
+
 def find(texts: pa.Array, crf: LinearChainCRF | None) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of all spans of each text."""
-    hexes, _, places = _candidates(texts)
+    hexes, places = _candidates(texts)
     out, pending = [], []
     for i, text in enumerate(texts.to_pylist()):
         if not text:
@@ -230,32 +264,39 @@ def find(texts: pa.Array, crf: LinearChainCRF | None) -> list[list[tuple[int, in
         out.append(base_spans(text, bool(hexes[i])))
         if crf is not None and places[i]:
             file = _file(text)
-            pending += [(i, tokens, _features(tokens, text, file)) for tokens in _sequences(text, _points(text, places[i]))]
+            pending += [(i, tokens, _features(tokens, text, file)) for tokens in _sequences(text, places[i])]
     if pending:
         bounds = np.concatenate([[0], np.cumsum([len(t) for _, t, _ in pending])])
-        e = np.concatenate([x for _, _, x in pending]).astype(float) @ crf.emit
-        free = np.array([_shaped(t[2]) for _, tokens, _ in pending for t in tokens])
-        e[~free, BEGIN] = -1e9
-        inner = free | np.array([t[2] in (".", ":") for _, tokens, _ in pending for t in tokens])
-        e[~inner, INSIDE] = -1e9
-        tags = crf.decode(e, bounds)
+        e = _emissions(crf, np.concatenate([x for _, _, x in pending]), [t[2] for _, tokens, _ in pending for t in tokens])
+        tags = _bound(crf).decode(e, bounds)
+        more: dict[int, list[tuple[int, int]]] = {}
         for k, (i, tokens, _) in enumerate(pending):
-            tag = tags[bounds[k] : bounds[k + 1]]
-            j = 0
-            while j < len(tokens):
-                if tag[j] == OUTSIDE:
-                    j += 1
-                    continue
-                last = j
-                while last + 1 < len(tokens) and tag[last + 1] == INSIDE and tokens[last + 1][0] == tokens[last][1]:
-                    last += 1
-                a, b = tokens[j][0], tokens[last][1]
-                if b - a >= MIN_CRF and not any(s < b and a < e2 for s, _, e2 in out[i]):
+            more.setdefault(i, []).extend(_tagged(tokens, tags[bounds[k] : bounds[k + 1]]))
+        for i, spans in more.items():
+            starts = [a for a, _, _ in out[i]]
+            ends = np.maximum.accumulate([b for _, _, b in out[i]]).tolist()
+            for a, b in spans:
+                n = bisect_left(starts, b)  # patterns' spans that begin before b
+                if n == 0 or ends[n - 1] <= a:
                     out[i].append((a, 3, b))
-                j = last + 1
     return [sorted(spans) for spans in out]
 
 
+def _tagged(tokens: list[tuple[int, int, str]], tag: np.ndarray):
+    """(start, end) of tagged runs of adjoining tokens of MIN_CRF characters or more."""
+    j = 0
+    while j < len(tokens):
+        if tag[j] == OUTSIDE:
+            j += 1
+            continue
+        last = j
+        while last + 1 < len(tokens) and tag[last + 1] == INSIDE and tokens[last + 1][0] == tokens[last][1]:
+            last += 1
+        if tokens[last][1] - tokens[j][0] >= MIN_CRF:
+            yield tokens[j][0], tokens[last][1]
+        j = last + 1
+
+
 SPANS = "array<struct<kind:string,start:long,stop:long>>"
 
 
