@@ -219,12 +219,29 @@ def test_crf_finds_a_secret_that_patterns_miss():
 
 def test_secret_candidates_dont_depend_on_neighbours():
     texts = ["deadbeef01234567"] * 3 + ["", None, "é", "0123456789abcdef", "ab", "cdef", "Zq7aaaaaaaaa", "0123456789abcdef"]
-    hexes, _, places = secret_scan._candidates(pa.array(texts))
+    hexes, places = secret_scan._candidates(pa.array(texts))
     alone = [secret_scan._candidates(pa.array([t], pa.string())) for t in texts]
-    assert hexes.tolist() == [bool(h[0]) for h, _, _ in alone] and places == [p[0] for _, _, p in alone]
+    assert hexes.tolist() == [bool(h[0]) for h, _ in alone] and places == [p[0] for _, p in alone]
     assert secret_scan.find(pa.array(texts), None)[:3] == [[(0, 2, 16)]] * 3
 
 
+def test_secret_parts_are_decoded_like_whole_texts():
+    rng = random.Random(12)
+    words = ["a", "über", ":", "=", "token", '"', ".", "x.y", "Zq7aaaaaaaaa", "a1b2c3d4e5f6.g7h8i9j0k1", "AbCdEfGh:12345678", "(", "plain", "é", "  ", chr(10), "key=Zz9Zz9Zz9Zz9"]
+    draw = np.random.default_rng(3)
+    for n in range(300):
+        text = rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randrange(1, 90)))
+        crf = LinearChainCRF(draw.normal(size=(secret_scan.N_FEATURES, 3)), draw.normal(size=(3, 3)), draw.normal(size=3))
+        tokens = [(m.start(), m.end(), m[0]) for m in secret_scan.TOKEN.finditer(text)]
+        want = []
+        if tokens:
+            e = secret_scan._emissions(crf, secret_scan._features(tokens, text, secret_scan._file(text)), [t[2] for t in tokens])
+            tags = secret_scan._bound(crf).decode(e, np.array([0, len(tokens)]))
+            base = secret_scan.base_spans(text)
+            want = [(a, 3, b) for a, b in secret_scan._tagged(tokens, tags) if not any(s < b and a < z for s, _, z in base)]
+        assert [s for s in secret_scan.find(pa.array([text]), crf)[0] if s[1] == 3] == want
+
+
 def test_secret_fit_doesnt_depend_on_layout(spark):
     far = " ".join(["plain words of prose"] * 12)
     texts = [f" {far} ".join(f"{'password' if k % 2 else 'note'} = {k * 7919 + i * 104729:x}aB{i}cdefgh{k}9" for k in range(20)) for i in range(4)]

@@ -101,7 +101,7 @@ def _chunked(held_out: Callable[[str], bool], kind: pa.DataType, limit: int):
     def run(batches):
         number = TaskContext.get().partitionId() << 24
         ids, lens, hashes, size = [], [], [], 0
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", 1 << 20):
             w = Words(b.column("text"), lower=True)
             h = np.insert(w.hashes(), w.bounds[1:], END)
             ids += b.column("id").to_pylist()
