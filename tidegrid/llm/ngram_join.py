@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, prepare, release
+from .store import BROADCAST_ROWS, cut, prepare, release, spread_join
 from .words import U64, Words, chunks, mix, rolling
 
 SIZE = 5
@@ -51,10 +51,6 @@ HIST, PARITY = 64, 2048
 GAIN, ROUNDS = 0.02, 4
 #: Shingles or signatures a task holds at once, and aimed at in a bucket.
 HELD = 2_000_000
-#: Rows of ids that are broadcast at most; a shuffled join serves beyond it.
-BROADCAST_ROWS = 500_000
-#: A key with more rows than this, and than a HOT_KEYS-th of all, is joined by broadcast.
-HOT_ROWS, HOT_KEYS = 2_000, 100_000
 CHOICES = list(combinations(range(N2), N2 - K2))
 
 
@@ -642,18 +638,6 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return members, links
 
 
-def _spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows inner join table (one row a key, ``count``: how many rows have it), without a hot key in one task.
-
-    Keys above a count that HOT_KEYS of them at most can have are broadcast; the others are shuffled.
-    """
-    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
-    heavy = F.broadcast(table.where(hot).drop(count))
-    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(table.where(~hot).drop(count), keys)
-    return rows.join(heavy, keys).unionByName(rest)
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """doc_id, text_hash, n_shingles, class (of the row's set), component and low of every row.
 
@@ -668,9 +652,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     # classes without a link are by themselves; of the others, the least id of a root's classes
     linked = classes.join(roots, F.col("sid") == F.col("node")).select("sid", "check", "low", "k", "root")
     lows = linked.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("n_classes"))
-    linked = _spread_join(linked, cut(lows, "lows"), ["root"], "n_classes").select("sid", "check", F.col("root").alias("component"), F.col("least").alias("low"), "k")
+    linked = spread_join(linked, cut(lows, "lows"), ["root"], "n_classes").select("sid", "check", F.col("root").alias("component"), F.col("least").alias("low"), "k")
     alone = classes.join(roots, F.col("sid") == F.col("node"), "left_anti").select("sid", "check", F.col("sid").alias("component"), "low", "k")
-    named = _spread_join(full, cut(alone.unionByName(linked), "named"), ["sid", "check"], "k")
+    named = spread_join(full, cut(alone.unionByName(linked), "named"), ["sid", "check"], "k")
     named = named.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("sid").alias("class"), "component", "low")
     none = F.lit(None).cast("long")
     return named.unionByName(members.where("n = 0").select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), none.alias("class"), none.alias("component"), F.col("doc_id").alias("low")))

@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("quality")).where("id is not null and quality in (0, 1)")
     known = known.groupBy("id").agg(F.min("quality").alias("quality"))
-    few = first_by_hash(known.where("quality = 0"), ["id"], train_docs).unionAll(first_by_hash(known.where("quality = 1"), ["id"], train_docs))
+    of = lambda c: first_by_hash(known.where(F.col("quality") == c), ["id"], train_docs).withColumn("quality", F.lit(c))
+    few = of(0).unionAll(of(1))
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
     # the broadcast side has 2 * train_docs rows at most, and an id gives one row
     one = text.join(F.broadcast(few), "id").groupBy("id").agg(F.first("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))

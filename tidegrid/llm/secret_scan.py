@@ -224,7 +224,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     """
     prepare(docs.sparkSession)
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    ids = first_by_hash(text.select("id"), ["id"], train_docs).distinct()
+    ids = first_by_hash(text, ["id"], train_docs)
     # the broadcast side has train_docs rows at most, and an id gives one text
     one = text.where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = one.select("text").mapInArrow(_learn, "x binary, y binary").collect()

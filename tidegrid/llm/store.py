@@ -20,6 +20,10 @@ _ROOT = Path(__file__).resolve().parents[2]
 _own: dict[str, str] = {}
 #: Bytes of an Arrow batch to a worker, beyond which a row begins a new one.
 BATCH_BYTES = 16 << 20
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 500_000
+#: A key with more rows than this, and than a HOT_KEYS-th of all, is joined by broadcast.
+HOT_ROWS, HOT_KEYS = 2_000, 100_000
 _shipped: set[str] = set()
 
 
@@ -50,17 +54,33 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def first_by_hash(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows (all, if fewer) by a hash of ``keys``, the same whatever the layout.
+    """The first ``n`` distinct keys (all, if fewer) by a hash, the same whatever the layout.
 
-    The rows are cut by a threshold on the hash before they are sorted, one that about
-    2 n rows pass, so what tasks hand on doesn't grow with the input.
+    Rows are cut by a threshold on the hash before they are sorted, one that about 2 n
+    rows pass, so what tasks hand on doesn't grow with the input.
     """
-    by = F.xxhash64(*keys)
-    share = (2 * n + 1000) / max(1, df.count())
-    few = df.where(by < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else df
-    if share < 1 and len(few.limit(n).select(F.lit(1)).take(n)) < n:  # keys repeat so much that few of them are low
-        few = df
-    return few.orderBy(by, *keys).limit(n)
+    by, rows = F.xxhash64(*keys), df.select(*keys)
+    share = (2 * n + 1000) / max(1, rows.count())
+    if share < 1:
+        few = rows.where(by < F.lit(int(-(2**63) + share * 2**64))).distinct()
+        # keys that repeat much may leave too few of them below it
+        rows = few if few.count() >= n else rows
+    return rows.distinct().orderBy(by, *keys).limit(n)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to table (one row a key, ``count``: how many rows have it), without a hot key in one task.
+
+    A table of BROADCAST_ROWS at most is broadcast. Of a larger one those keys are whose count is above one
+    that HOT_KEYS of them at most can have; the others are shuffled.
+    """
+    size = table.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count)), keys, how)
+    hot = F.col(count) > max(HOT_ROWS, size[1] // HOT_KEYS)
+    heavy = F.broadcast(table.where(hot).drop(count))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(table.where(~hot).drop(count), keys, how)
+    return rows.join(heavy, keys).unionByName(rest)
 
 
 def prepare(spark: SparkSession, records: int = 512) -> None:

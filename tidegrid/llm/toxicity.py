@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import first_by_hash, prepare
+from .store import BROADCAST_ROWS, first_by_hash, prepare
 from .words import U64, Words, chunks, span_hashes
 
 DIM = 1 << 18
@@ -41,8 +41,6 @@ SELECTED = 256
 MIN_Z = 3.0
 #: Labelled documents of either class, first by a hash of their id, that the fit sees at most.
 TRAIN_DOCS = 6_000
-#: Labels that are broadcast at most; a shuffled join serves beyond it.
-BROADCAST_ROWS = 500_000
 FOLDS = 4
 THRESHOLD = 0.5
 #: Seed words of the weak categories.
@@ -170,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seeds = {c: seed_buckets(w) for c, w in SEEDS.items()}
     top = [r[0] for r in counts.where("n1 >= 3").where(z >= MIN_Z).orderBy(z.desc(), "bucket").limit(SELECTED).collect()]
     selected = np.array(sorted({*top, *(b for s in seeds.values() for b in s)}), np.int64)
-    few = first_by_hash(known.where("toxic = 1"), ["id"], train_docs).unionAll(first_by_hash(known.where("toxic = 0"), ["id"], train_docs))
+    of = lambda c: first_by_hash(known.where(F.col("toxic") == c), ["id"], train_docs).withColumn("toxic", F.lit(c))
+    few = of(1).unionAll(of(0))
     empty = Chain(selected)
 
     def rows(batches):

@@ -4,7 +4,8 @@ DataFrame operations only. A rule names a host and a path; it fits that host and
 its subdomains where the url's path begins with the rule's, and the longest rule
 wins. Urls without a rule are judged by boosted trees over lengths, depth, digit
 ratios, entropy, parameter counts and suffix statistics. The trees are trained on
-labelled urls: by default those whose host holds a seed word (labelled block)
+labelled urls: by default those with a seed word between the dots, hyphens and digits
+of their host (labelled block)
 against those that a rule allows or no rule fits (labelled allow; rules that block
 whole sites are policy and label nothing); a labelled table can be given instead.
 The fit takes a bounded sample of features to the driver; scoring is a projection
@@ -12,7 +13,9 @@ of nested CASEs.
 
 Suffix statistics (share of blocked urls among labelled ones, by the host's last
 label and by its last two) cover all labelled urls, summed in groups and joined
-back by suffix; a suffix without labels takes the share of what lies above it.
+back by suffix; a suffix without labels takes the share of what lies above it. For
+training they are out of fold: hosts are dealt to FOLDS folds, and a url gets the
+statistics of the others, so that none holds its own label or one of its host.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no
 rule, and is judged by the trees as such; repeated rows get equal results; without
@@ -27,12 +30,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut, first_by_hash, spread_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query, and seed words that label a host.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 SEED_WORDS = ["adult", "bet", "casino", "cheap", "escort", "loan", "pills", "poker", "porn", "replica", "sex", "spam", "viagra", "xxx"]
-#: Labelled urls, first by a hash, that the fit sees at most.
-TRAIN_URLS = 20_000
+#: Labelled urls, first by a hash, that the fit sees at most; folds of their suffix statistics.
+TRAIN_URLS, FOLDS = 20_000, 5
 TREES, DEPTH, RATE, BINS = 20, 3, 0.3, 24
 SMOOTH = 20.0
 FEATURES = [
@@ -91,14 +96,14 @@ def _lexical(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in made.items()} | keys)
 
 
-def _with_suffix_rates(df: DataFrame, labelled: DataFrame) -> DataFrame:
-    """labelled: suffix, site_suffix, label (1: block)."""
-    total = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0]
-    one = labelled.groupBy("suffix").agg(((F.sum("label") + SMOOTH * total) / (F.count("*") + SMOOTH)).alias("suffix_rate"))
-    two = labelled.groupBy("site_suffix", "suffix").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
-    two = two.join(one, "suffix").select("site_suffix", ((F.col("s") + SMOOTH * F.col("suffix_rate")) / (F.col("n") + SMOOTH)).alias("site_suffix_rate"))
-    out = df.join(one, "suffix", "left").join(two, "site_suffix", "left")
-    return out.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(total))).withColumn("site_suffix_rate", F.coalesce("site_suffix_rate", "suffix_rate"))
+def _with_suffix_rates(df: DataFrame, sums: DataFrame, prior: float, by: list[str]) -> DataFrame:
+    """sums: ``by``, suffix, site_suffix, s (blocked) and n of labelled urls; df has ``by`` and the suffixes too."""
+    one = sums.groupBy(*by, "suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    one = one.select(*by, "suffix", "n", ((F.col("s") + SMOOTH * prior) / (F.col("n") + SMOOTH)).alias("suffix_rate"))
+    two = sums.groupBy(*by, "site_suffix", "suffix").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).join(one.drop("n"), [*by, "suffix"])
+    two = two.select(*by, "site_suffix", "n", ((F.col("s") + SMOOTH * F.col("suffix_rate")) / (F.col("n") + SMOOTH)).alias("site_suffix_rate"))
+    out = spread_join(spread_join(df, one, [*by, "suffix"], "n", "left"), two, [*by, "site_suffix"], "n", "left")
+    return out.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(prior))).withColumn("site_suffix_rate", F.coalesce("site_suffix_rate", "suffix_rate"))
 
 
 # --- boosted trees -------------------------------------------------------------------------
@@ -189,18 +194,27 @@ def judge(pages: DataFrame, id_col: str, url_col: str, rules: list[tuple[str, st
         return _lexical(df.withColumns({"rule": rule, "ruled": verdict}))
 
     rows = prepared(pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").alias("url")))
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold")
     if labelled is None:
-        seed = F.col("host").rlike("|".join(SEED_WORDS))
-        known = rows.withColumn("label", F.when(seed, 1).when(F.coalesce(F.col("ruled"), F.lit("allow")) == "allow", 0)).where("label is not null")
+        seed = F.col("host").rlike(rf"(^|[.\-0-9])({'|'.join(SEED_WORDS)})s?([.\-0-9]|$)")
+        label = F.when(seed, 1).when(F.coalesce(F.col("ruled"), F.lit("allow")) == "allow", 0)
+        known = rows.withColumn("label", label).where("label is not null")
+        few = prepared(first_by_hash(known, ["url"], train_urls)).withColumn("label", label)
     else:
-        known = prepared(labelled.select("url", F.col("label").cast("int").alias("label"))).where("url is not null and label in (0, 1)")
-    suffixes = known.select("suffix", "site_suffix", "label")
-    sample = _with_suffix_rates(known.orderBy(F.xxhash64("url"), "url").limit(train_urls), suffixes).select("label", F.array(*FEATURES).alias("x")).collect()
+        urls = labelled.select("url", F.col("label").cast("int").alias("label")).where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
+        known = prepared(urls)
+        few = prepared(first_by_hash(urls, ["url"], train_urls).join(urls, "url"))
+    # one row for each suffix and fold
+    sums = cut(known.groupBy("suffix", "site_suffix", fold).agg(F.sum("label").alias("s"), F.count("*").alias("n")), "suffixes")
+    whole = sums.agg(F.sum("s") / F.sum("n")).first()[0]
+    prior = 0.5 if whole is None else float(whole)
+    others = sums.withColumn("other", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).where("other <> fold").drop("fold").withColumnRenamed("other", "fold")
+    sample = _with_suffix_rates(few.withColumn("fold", fold), others, prior, ["fold"]).select("label", F.array(*FEATURES).alias("x")).collect()
     got = sorted((r["label"], r["x"]) for r in sample)
     y = np.array([r[0] for r in got], float)
     if len(y) and 0 < y.sum() < len(y):
         odds = boost(np.array([r[1] for r in got]), y).expression(FEATURES)
-        rows = _with_suffix_rates(rows, suffixes).withColumn("block_score", 1 / (1 + F.exp(-odds)))
+        rows = _with_suffix_rates(rows, sums, prior, []).withColumn("block_score", 1 / (1 + F.exp(-odds)))
     else:
         rows = rows.withColumn("block_score", F.lit(0.0))
     method = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
