@@ -407,11 +407,55 @@ def test_quality_prior(spark):
     rows = quality_prior.score(docs, quality_prior.fit(docs, labels)).collect()
     assert len(rows) == len(texts)
     assert sum(r.kept == bool(r.doc_id % 2) for r in rows if 100 <= r.doc_id < 200) >= 95
-    for r in rows:  # a path lies between its own mean and its host's
-        assert 0 < r.path_mean < 1 and 0 < r.host_mean < 1
     assert quality_prior.score(docs, None).where("quality <> 0.5").count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0, 8.0])
+def test_quality_posteriors_like_numpy(spark, spread):
+    rng = np.random.default_rng(int(spread) + 3)
+    rows = []
+    for h in range(6):
+        at = rng.normal() * spread
+        for p in range(1 + h % 3):
+            shift = at + rng.normal() * spread / 2
+            for _ in range(int(rng.integers(1, 30)) ** (1 + (h == 0))):
+                rows.append((len(rows), " ".join(["w", "!!", "wwww", "12"][int(abs(rng.normal() + shift)) % 4] for _ in range(12)), f"p{p}", f"h{h}"))
+    docs = spark.createDataFrame([*rows, (-1, None, None, None)], "doc_id long, text string, lang string, source string").repartition(3)
+    weights = np.array([0.1, 0.2, 0, 0, 0, -2.0, 0.3, 2.0, 0, -1.0, 0.4])
+    got = {r.doc_id: r for r in quality_prior.score(docs, weights).collect()}
+    assert len(got) == len(rows) + 1
+    ids, e = list(got), {i: r.evidence for i, r in got.items()}
+    host, path = {i: r.host for i, r in got.items()}, {i: (r.host, r.path) for i, r in got.items()}
+    of = lambda key: {k: np.array([e[i] for i in ids if key[i] == k]) for k in set(key.values())}
+    hosts, paths, n = of(host), of(path), len(ids)
+    mean = np.mean(list(e.values()))
+    noise = sum(((v - v.mean()) ** 2).sum() for v in paths.values()) / (n - len(paths))
+    ss_path = sum(len(v) * (v.mean() - hosts[k[0]].mean()) ** 2 for k, v in paths.items())
+    ss_host = sum(len(v) * (v.mean() - mean) ** 2 for v in hosts.values())
+    a = sum(len(v) ** 2 / len(hosts[k[0]]) for k, v in paths.items())
+    d = sum(len(v) ** 2 for v in paths.values()) / n
+    var_path = max(0, (ss_path - (len(paths) - len(hosts)) * noise) / (n - a))
+    var_host = max(0, (ss_host - (len(hosts) - 1) * noise - (a - d) * var_path) / (n - sum(len(v) ** 2 for v in hosts.values()) / n))
+    strength = lambda v: min(1e6, max(1, noise / v)) if v > 1e-15 else 1e6
+    kh, kp = strength(var_host), strength(var_path)
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for i in ids:
+        hv, pv = hosts[host[i]], paths[path[i]]
+        up = (hv.sum() + kh * mean) / (len(hv) + kh)
+        assert got[i].host_mean == pytest.approx(up, rel=1e-6)
+        assert got[i].path_mean == pytest.approx((pv.sum() + kp * up) / (len(pv) + kp), rel=1e-6)
+        up = (hv.sum() - e[i] + kh * mean) / (len(hv) - 1 + kh)
+        site = (pv.sum() - e[i] + kp * up) / (len(pv) - 1 + kp)
+        assert got[i].quality == pytest.approx(1 / (1 + math.exp(-(odds(e[i]) + odds(site) - odds(mean)))), rel=1e-5)
+
+
+def test_quality_word_counts(spark):
+    texts = ["", " ", "a", " a", "a ", "  a\tb\r\nc ", "\x0b\x0c", "a\x0bb", None, "é è"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    first = [r[0] for r in docs.orderBy("doc_id").select(quality_prior.features(docs["text"])[0]).collect()]
+    assert [round(math.exp(4 * v)) - 1 for v in first] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 def test_url_filter(spark):
     urls = ["http://www.example.com/en/1", "https://Sub.Example.com/en/x?a=1&b=2", "http://example.com/de", "http://a.net/es/1", "http://a.net/fr/", "http://net/es/1", "http://x.org/", "http://x.com", "http://x.com?q=/", "no scheme", None, "", "http://cheap-pills7.org/buy", "a://b://c/d#e?f", "http://x.net/es"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 3)], "page_id long, url string, host string").repartition(2)
