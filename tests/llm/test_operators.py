@@ -172,9 +172,10 @@ def _decontaminate(texts, items, size=13):
         yield len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_decontamination(spark, docs, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("limits", [(100_000, 500_000, 100_000), (3, 500_000, 2), (0, 4, 1)])
+def test_decontamination(spark, docs, monkeypatch, limits):
+    for name, value in zip(("BROADCAST_WINDOWS", "BROADCAST_ROWS", "PART"), limits):
+        monkeypatch.setattr(decontamination, name, value)
     texts = _texts()
     items = [" ".join(texts[3].split()[5:40]).upper(), texts[7][:200], "two words", None, "", "...", "ÉTA", " ".join(texts[3].split()[5:40]), "never there at all"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")

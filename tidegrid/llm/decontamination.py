@@ -7,14 +7,19 @@ prefix of one token is the necessary one. Words of documents are joined with
 these prefix tokens; what joins must have room for the window around the token
 (length and positional bounds), and then equal it word by word.
 
-The side that is broadcast holds windows, at most BLOCK_WORDS words of them at a
-time: a larger benchmark is taken in several blocks against all documents. No
-document leaves the JVM and no key of documents is shuffled before it has matched.
+Documents are read once to count the benchmark's words and once to match, whatever the
+benchmark's size. Up to BROADCAST_WINDOWS windows are broadcast. Of a larger benchmark
+only the distinct prefix tokens are; a word that is one of them goes, with the words
+around it that its windows can span, to a shuffled join by token, where a frequent token
+is dealt out in as many parts as its occurrences need. (Prefix tokens above
+BROADCAST_ROWS are taken in blocks, as are words to be counted.) No document leaves the
+JVM and no whole text is shuffled.
 
 Defined results: a null or empty text has no words, no hits, and is not
 contaminated; an item without words has no window; each row is judged on its own
 text, so repeated rows get equal results; a benchmark without rows marks nothing.
-Texts are taken whole, whatever their length. Item ids count as strings.
+Texts are taken whole, whatever their length. Item ids count as strings. A column of
+docs with the name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import BROADCAST_ROWS, cut
 
 WINDOW = 13
-#: Words (of 13-word windows: that many times 13) in one broadcast block.
-BLOCK_WORDS = 100_000
+#: Windows that are broadcast at most.
+BROADCAST_WINDOWS = 100_000
+#: Occurrences of a token in one part of the shuffled join.
+PART = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words before lower-casing: the complement of separators, with A-Z inside.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,32 +63,48 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
     windows: hashes of the windows met.
     """
     text = F.col(f"`{text_col}`")
-    windows = item_windows(bench, item_col, bench_text_col, size).select("words", "n").distinct().withColumn("window", F.xxhash64("words"))
-    words_in = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, -(-words_in // (BLOCK_WORDS * size)))
-    parts = []
-    for k in range(blocks):
-        block = windows.where(F.pmod("window", F.lit(blocks)) == k) if blocks > 1 else windows
-        # a block holds about BLOCK_WORDS windows, so either broadcast side is bounded
-        vocabulary = block.select(F.explode("words").alias("w")).distinct()
-        seen = docs.select(F.explode_outer(_words(text)).alias("raw")).select(_lower(F.col("raw")).alias("w"))
+    windows = cut(item_windows(bench, item_col, bench_text_col, size).select("words", "n").distinct().withColumn("window", F.xxhash64("words")), "windows")
+    vocabulary = windows.select(F.explode("words").alias("w")).distinct()
+    seen = docs.select(F.explode_outer(_words(text)).alias("raw")).select(_lower(F.col("raw")).alias("w"))
+    if vocabulary.count() <= BROADCAST_ROWS:
         counts = seen.join(F.broadcast(vocabulary), "w").groupBy("w").agg(F.count("*").alias("c"))
-        ranked = block.select("window", "n", "words", F.posexplode("words").alias("off", "w")).join(counts, "w")
-        # windows with a word that no document has can't occur
-        whole = ranked.groupBy("window", "n", "words").agg(F.count("*").alias("found"), F.min(F.struct("c", "w", "off")).alias("rare"))
-        prefix = whole.where("found = n").select("window", F.col("n").alias("wn"), F.array_join("words", " ").alias("whole"), F.col("rare.w").alias("w"), F.col("rare.off").alias("off"))
-        prefix = prefix.select(F.col("w").alias("token"), "window", "wn", "whole", "off")
-        ws = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("k1"), F.hash(text, F.lit(1)).alias("k2"), _words(text).alias("ws"))
-        # outer, as else a filter is derived that splits each text twice; expressions below are all compiled
-        # into the stage of the join, so that a text's array is copied for rows that match only
-        at = ws.select("k1", "k2", "ws", F.posexplode_outer("ws").alias("pos", "raw")).withColumn("token", _lower(F.col("raw")))
-        begin = F.col("pos") - F.col("off")
-        room = (begin >= 0) & (begin + F.col("wn") <= F.size("ws"))
-        same = _lower(F.array_join(F.slice("ws", F.greatest(begin + 1, F.lit(1)), F.col("wn")), " ")) == F.col("whole")
-        parts.append(at.join(F.broadcast(prefix), "token").where(room).where(same).select("k1", "k2", "window", begin.alias("start"), (begin + F.col("wn")).alias("stop")))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    else:
+        counts = seen.groupBy("w").agg(F.count("*").alias("c")).join(vocabulary, "w")
+    ranked = windows.select("window", "n", "words", F.posexplode("words").alias("off", "w")).join(counts, "w")
+    # windows with a word that no document has can't occur
+    whole = ranked.groupBy("window", "n", "words").agg(F.count("*").alias("found"), F.min(F.struct("c", "w", "off")).alias("rare"))
+    prefix = whole.where("found = n").select(
+        F.col("rare.w").alias("token"), "window", F.col("n").alias("wn"), F.array_join("words", " ").alias("whole"), F.col("rare.off").alias("off"), F.col("rare.c").alias("c")
+    )
+    prefix = cut(prefix, "prefix")
+    ws = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("k1"), F.hash(text, F.lit(1)).alias("k2"), _words(text).alias("ws"))
+    # outer, as else a filter is derived that splits each text twice; expressions below are all compiled
+    # into the stage of the join, so that a text's array is copied for rows that match only
+    at = ws.select("k1", "k2", "ws", F.posexplode_outer("ws").alias("pos", "raw")).withColumn("token", _lower(F.col("raw")))
+    begin = F.col("pos") - F.col("off")
+
+    def met(words: Column, base: Column, n_words: Column) -> tuple[Column, Column]:
+        """Room for the window in the text, and equality; ``words`` are those from ``base`` on."""
+        room = (begin >= 0) & (begin + F.col("wn") <= n_words)
+        return room, _lower(F.array_join(F.slice(words, F.greatest(begin - base + 1, F.lit(1)), F.col("wn")), " ")) == F.col("whole")
+
+    out = ["k1", "k2", "window", begin.alias("start"), (begin + F.col("wn")).alias("stop")]
+    if prefix.count() <= BROADCAST_WINDOWS:
+        room, same = met(F.col("ws"), F.lit(0), F.size("ws"))
+        hits = at.join(F.broadcast(prefix), "token").where(room).where(same).select(*out)
+    else:
+        dealt = prefix.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
+        tokens = dealt.select("token", "parts").distinct()
+        blocks = -(-tokens.count() // BROADCAST_ROWS)
+        base = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+        near = [base.alias("base"), F.slice("ws", base + 1, F.lit(2 * size - 1)).alias("near"), F.size("ws").alias("n_words"), F.pmod(F.xxhash64("k1", "pos"), "parts").cast("int").alias("part")]
+        found = [at.join(F.broadcast(tokens.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == k)), "token").select("k1", "k2", "pos", "token", *near) for k in range(blocks)]
+        candidates = found[0]
+        for f in found[1:]:
+            candidates = candidates.unionByName(f)
+        copies = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        room, same = met(F.col("near"), F.col("base"), F.col("n_words"))
+        hits = candidates.join(copies, ["token", "part"]).where(room).where(same).select(*out)
     return hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.collect_set("window").alias("windows"))
 
 
