@@ -8,9 +8,10 @@ available finds the fullest combination that holds the longest of them; that
 combination is removed as often as its counts allow, so the work on the driver is
 bounded by the number of lengths, not of pieces.
 
-Pieces are numbered within their length without gathering a length in one task:
-pieces are dealt to cells by a hash of their document, cells are counted, and a
-piece's number is its place in its cell after all earlier cells. Numbers are looked
+Pieces are numbered within their length without gathering a length in one task: a
+length has a cell for each CELL of its pieces, pieces are dealt to its cells by a hash
+(of their place in the table of pieces too, so that copies part), cells are counted, and
+a piece's number is its place in its cell after all earlier cells. Numbers are looked
 up in the plan by binary search; the plan has one row for each length of each
 combination, so it doesn't grow with the input.
 
@@ -33,6 +34,8 @@ from .tokenizer import encoder
 from .words import chunks
 
 SIZE = 4096
+#: Pieces aimed at in a cell.
+CELL = 20_000
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -132,16 +135,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Every piece with its sequence_id and offset there; offsets of a sequence have no gap."""
-    spark = docs.sparkSession
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(pieces(docs, tokenizer, id_col, text_col, size).withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)).cast("int")), "pieces")
-    counts = found.groupBy("length", "cell").agg(F.count("*").alias("n"))
-    counts = cut(counts, "counts")
-    total = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    found = cut(pieces(docs, tokenizer, id_col, text_col, size).withColumn("spread", spread), "pieces")
+    total = {r[0]: r[1] for r in found.groupBy("length").agg(F.count("*")).collect()}  # at most ``size`` rows
     rows = plan_rows(plan_bins(total, size))
-    # cells of a length are as many as partitions, so these windows are small
+    cells = docs.sparkSession.createDataFrame([(k, -(-n // CELL)) for k, n in total.items()], "length long, cells long")
+    dealt = found.join(F.broadcast(cells), "length").withColumn("cell", F.pmod("spread", "cells")).drop("spread", "cells")
+    counts = dealt.groupBy("length", "cell").agg(F.count("*").alias("n"))
+    # one row a cell, so a window over a length's cells is small beside its pieces
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")).select("length", "cell", "before")
-    numbered = found.withColumn("k", F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    numbered = dealt.withColumn("k", F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     numbered = numbered.join(before, ["length", "cell"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("k") + F.col("before")).alias("k"))
     return numbered.mapInArrow(_placed(rows), f"doc_id {found.schema['doc_id'].dataType.simpleString()}, {PIECE}, sequence_id long, offset long")
 

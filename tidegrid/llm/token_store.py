@@ -14,12 +14,17 @@ A lookup takes the shard by its key bounds, the slot by at most LEVELS probes, a
 compares the fingerprint, so a key that isn't there is told as missing.
 
 Files are written under a name of their own and then renamed, so a task that runs
-again, or twice, leaves the same files. Documents are dealt to shards by ranges of
-keys taken from a bounded sample of keys; ids, not texts, are shuffled.
+again, or twice, leaves the same files. Ids are encoded once, into a table in the shared
+folder; there is a shard for each SHARD_IDS of them, so shards and indexes stay as large
+as they are however many documents there are. Documents are dealt to shards by ranges of
+(key, hash) taken from a sample of SAMPLE rows a shard; the hash, of the ids and the place
+in that table, only parts rows that repeat a key, which may fill several shards. Ids, not
+texts, are shuffled.
 
 Defined results: null or empty text has the end id alone; a null key sorts first;
 rows that repeat a key are all kept, told apart by their number among equals
-(by their ids' order); an empty table gives a store without shards.
+(by a hash of their ids); an empty table gives a store without shards. A vocabulary
+above what 2 bytes hold takes 4.
 """
 
 from __future__ import annotations
