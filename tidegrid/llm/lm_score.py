@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .store import cut, prepare, scratch
 from .token_store import _fs, _read, _write
-from .words import U64, Words, chunks, mix
+from .words import U64, Words, chunks, mix, numbered
 
 #: Weight of the shorter context for each order from 2 on, and the words of the longest n-grams.
 MU = (300.0, 30.0)
@@ -117,16 +117,6 @@ def _chunked(held_out: Callable[[str], bool], kind: pa.DataType, limit: int):
     return run
 
 
-def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending distinct values, a place of each, and the number of each element's value."""
-    order = np.argsort(x)
-    ascending = x[order]
-    new = np.r_[np.ones(min(1, len(x)), bool), ascending[1:] != ascending[:-1]]
-    back = np.empty(len(x), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return ascending[new], order[new], back
-
-
 @dataclass
 class Grams:
     """The distinct n-grams of one order in a chunk."""
@@ -165,7 +155,7 @@ class Chunk:
             before = np.r_[-1, made[-1].at[:-1]]
             before[self.starts] = n if k == 2 else -1
             whole = np.flatnonzero(before >= 0)
-            found, first, back = _numbered(before[whole] * width + self.tokens[whole])
+            found, first, back = numbered(before[whole] * width + self.tokens[whole])
             at = np.full(len(self.tokens), -1, np.int64)
             at[whole] = back
             prefix, word = found // width, found % width
@@ -255,7 +245,7 @@ def _totals(batches):
             n = 8 + int(np.frombuffer(blob, "<i8", 1)[0])
             keys.append(np.cumsum(_unsqueeze(blob[8:n], "<u8"), dtype=U64))
             counts.append(_unsqueeze(blob[n:], "<u4"))
-        found, _, back = _numbered(np.concatenate(keys))
+        found, _, back = numbered(np.concatenate(keys))
         holders = np.bincount(back)
         total = np.bincount(back, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
         value = (2 * total + (holders > 1)).astype("<u8")

@@ -8,18 +8,18 @@ Layout of a store folder:
   cascade of bit arrays; a key's slot is the rank of its bit), and by slot a
   stored 64-bit fingerprint, the offset of the document in the payload and its
   length, both in ids.
-- ``manifest.json``: id width, and for each shard its key bounds, documents and ids.
+- ``manifest.json``: id width, and for each shard its first key, how many rows of that key
+  lie in earlier shards, its documents, its ids and those before it.
 
-A lookup takes the shard by its key bounds, the slot by at most LEVELS probes, and
+A lookup takes the shard by its first key, the slot by at most LEVELS probes, and
 compares the fingerprint, so a key that isn't there is told as missing.
 
 Files are written under a name of their own and then renamed, so a task that runs
 again, or twice, leaves the same files. Ids are encoded once, into a table in the shared
 folder; there is a shard for each SHARD_IDS of them, so shards and indexes stay as large
-as they are however many documents there are. Documents are dealt to shards by ranges of
-(key, hash) taken from a sample of SAMPLE rows a shard; the hash, of the ids and the place
-in that table, only parts rows that repeat a key, which may fill several shards. Ids, not
-texts, are shuffled.
+as they are however many documents there are. Documents are dealt to shards by Spark's
+ranges of (key, hash of the ids, place in that table); the last two part rows that repeat
+a key, which may fill several shards. Ids, not texts, are shuffled.
 
 Defined results: null or empty text has the end id alone; a null key sorts first;
 rows that repeat a key are all kept, told apart by their number among equals
@@ -32,21 +32,24 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import prepare
+from .store import cut, prepare
 from .tokenizer import END, encoder
 from .words import U64, chunks, mix, span_hashes
 
 LEVELS = 32
-#: Keys sampled for each shard's bounds, and the bytes read from a payload at once.
-SAMPLE, READ = 40, 8 << 20
+#: Ids aimed at in a shard, and the bytes read from a payload at once.
+SHARD_IDS, READ = 32 << 20, 8 << 20
+#: Numbers of a repeated key that are made in one row's sequence at most.
+NUMBERS = 10_000
 
 
 # --- minimal perfect hash ------------------------------------------------------------------
@@ -175,55 +178,59 @@ class _Shard:
         self.fs, at = _fs(self.name + ".ids")
         self.at, self.own = at, f"{at}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.own)
-        self.hashes, self.lengths, self.last, self.number = [], [], None, 0
+        self.hashes, self.lengths, self.last, self.number, self.first = [], [], None, -1, None
 
     def add(self, keys: pa.Array, ids: list[bytes]) -> None:
-        numbers = []
-        for key in keys.to_pylist():
-            self.number = self.number + 1 if self.hashes_any and key == self.last else 0
-            self.hashes_any, self.last = True, key
+        numbers, listed = [], keys.to_pylist()
+        if not self.hashes:
+            self.first = self.last = listed[0]
+        for key in listed:
+            self.number = self.number + 1 if key == self.last else 0
+            self.last = key
             numbers.append(self.number)
         self.hashes.append(key_hashes(keys, np.array(numbers, np.int64)))
-        self.lengths += [len(b) // self.width for b in ids]
+        self.lengths.append(np.array([len(b) // self.width for b in ids], np.int64))
         self.out.write(b"".join(ids))
 
-    hashes_any = False
-
     def close(self) -> dict:
+        """first and last: keys; tail: how many rows have the last one."""
         self.out.close()
         self.fs.move(self.own, self.at)
-        lengths = np.array(self.lengths, np.int64)
+        lengths = np.concatenate(self.lengths)
         _write(self.name + ".idx", index_bytes(np.concatenate(self.hashes), np.cumsum(lengths) - lengths, lengths))
-        return {"shard": self.k, "docs": len(lengths), "ids": int(lengths.sum())}
+        return {"shard": self.k, "first": self.first, "last": self.last, "tail": self.number + 1, "docs": len(lengths), "ids": int(lengths.sum())}
 
 
-def _bounds(keys: DataFrame, shards: int) -> list:
-    """Ascending keys that part about equal numbers of rows, from at most SAMPLE * shards sampled rows."""
-    key = F.col("key")
-    rows = keys.where(key.isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE * shards).collect()
-    found = sorted({r[0] for r in rows})
-    return [found[len(found) * k // shards] for k in range(1, shards) if len(found) * k // shards > 0] if found else []
+class Deal:
+    """The shard of a key and its number among equals, from each shard's first key and the rows of that key before it."""
 
+    def __init__(self, shards: list[dict]):
+        self.shard = [s["shard"] for s in shards]
+        self.begin = [((s["first"] is not None, s["first"] if s["first"] is not None else 0), s["before"]) for s in shards]
 
-def _shard_of(keys: pa.Array, bounds: list) -> pa.Array:
-    """Number of bounds at or below each key; null: 0."""
-    if not bounds:
-        return pa.array(np.zeros(len(keys), np.int32))
-    if pa.types.is_integer(keys.type):
-        at = np.searchsorted(np.array(bounds, np.int64), keys.fill_null(np.iinfo(np.int64).min).cast(pa.int64()).to_numpy(), side="right")
-        return pa.array(at.astype(np.int32))
-    up = [x for x in bounds]
-    return pa.array([0 if k is None else bisect_left(up, k) + (k in up) for k in keys.to_pylist()], pa.int32())
+    def __call__(self, keys: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, number within the shard) of each key; a shard all the same where there is no such key."""
+        at = np.zeros(len(keys), np.int32)
+        own = np.asarray(numbers, np.int64).copy()
+        for i, (key, number) in enumerate(zip(keys.to_pylist(), own.tolist())):
+            whole = (key is not None, key if key is not None else 0)
+            k = max(0, bisect_right(self.begin, (whole, number)) - 1)
+            if self.begin[k][0] == whole:
+                own[i] -= self.begin[k][1]
+            at[i] = self.shard[k]
+        return at, own
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, width: int = 2) -> dict:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, width: int | None = None) -> dict:
     """Encode every text, append the end id, and write the store; returns its manifest."""
     spark = docs.sparkSession
     prepare(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = encoder(tokenizer).width
+    width = width or least
+    if width < least:
+        raise ValueError(f"ids of this vocabulary take {least} bytes")
     keyed = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
-    bounds = sorted(set(_bounds(keyed.select("key"), shards)))
     fs, at = _fs(path)
     fs.create_dir(at, recursive=True)
 
@@ -232,33 +239,34 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         for b in chunks(batches, "text"):
             ids, off = own.encode_ended(b.column("text"))
             raw = ids.astype(f"<u{width}").tobytes()
-            cut = [raw[width * off[i] : width * off[i + 1]] for i in range(b.num_rows)]
-            yield pa.record_batch([_shard_of(b.column("key"), bounds), b.column("key"), pa.array(cut, pa.binary())], names=["shard", "key", "ids"])
+            cuts = [raw[width * off[i] : width * off[i + 1]] for i in range(b.num_rows)]
+            yield pa.record_batch([b.column("key"), pa.array(cuts, pa.binary())], names=["key", "ids"])
 
     def store(batches):
         now, done = None, []
         for b in batches:
-            shard = np.asarray(b.column(0))
-            cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)] if len(shard) else [0]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if now is None or now.k != shard[i]:
-                    if now:
-                        done.append(now.close())
-                    now = _Shard(path, int(shard[i]), width)
-                part = b.slice(i, j - i)
-                now.add(part.column(1), part.column(2).to_pylist())
+            if b.num_rows:
+                now = now or _Shard(path, TaskContext.get().partitionId(), width)
+                now.add(b.column(0), b.column(1).to_pylist())
         if now:
             done.append(now.close())
-        yield pa.record_batch([pa.array([d[c] for d in done], t) for c, t in (("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()))], names=["shard", "docs", "ids"])
-
-    ids = keyed.mapInArrow(encode, f"shard int, key {kind}, ids binary")
-    sorted_ids = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("key"), "ids")
-    rows = sorted(sorted_ids.mapInArrow(store, "shard int, docs long, ids long").collect())
-    manifest = {"width": width, "bounds": bounds, "end": END, "shards": []}
-    start = 0
-    for r in rows:
-        manifest["shards"].append({"shard": r[0], "docs": r[1], "ids": r[2], "start": start})
-        start += r[2]
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int32()), ("first", key_type), ("last", key_type), ("tail", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+
+    key_type = keyed.select("key").limit(0).toArrow().schema.field(0).type
+    made = cut(keyed.mapInArrow(encode, f"key {kind}, ids binary").withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()}), "ids")
+    if shards is None:
+        total = made.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // width
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_IDS))
+    order = [F.asc_nulls_first("key"), F.col("hash"), F.col("place")]
+    dealt = made.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "ids")
+    rows = sorted((r.asDict() for r in dealt.mapInArrow(store, f"shard int, first {kind}, last {kind}, tail long, docs long, ids long").collect()), key=lambda r: r["shard"])
+    start, before, last = 0, 0, None
+    for k, r in enumerate(rows):
+        r["start"], r["before"] = start, before if k and r["first"] == last else 0
+        before = r["tail"] + (r["before"] if r["first"] == r["last"] else 0)
+        start, last = start + r["ids"], r.pop("last")
+        r.pop("tail")
+    manifest = {"width": width, "end": END, "shards": rows}
     _write(f"{path}/manifest.json", json.dumps(manifest).encode())
     return manifest
 
@@ -294,13 +302,15 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     unsigned 32-bit ids) and ids (the payload as written) of each, by the index."""
     prepare(spark)
     manifest = open_store(path)
-    bounds, width = manifest["bounds"], manifest["width"]
-    starts = {s["shard"]: s["start"] for s in manifest["shards"]}
+    width, starts = manifest["width"], {s["shard"]: s["start"] for s in manifest["shards"]}
     kind = keys.schema["key"].dataType.simpleString()
+    deal_of = Deal(manifest["shards"])
 
     def deal(batches):
         for b in batches:
-            yield pa.record_batch([_shard_of(b.column(0), bounds), b.column(0), b.column(1)], names=["shard", "key", "number"])
+            if starts:
+                shard, own = deal_of(b.column(0), np.asarray(b.column(1)))
+                yield pa.record_batch([pa.array(shard), b.column(0), b.column(1), pa.array(own)], names=["shard", "key", "number", "own"])
 
     def read(batches):
         index, now = None, None
@@ -308,11 +318,9 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
             shard = np.asarray(b.column(0))
             for k in np.unique(shard).tolist():
                 part = b.filter(pa.array(shard == k))
-                if k not in starts:
-                    continue
                 if k != now:
                     index, now = Index(_read(f"{path}/{k:05d}.idx")), k
-                found, offset, length = index.find(key_hashes(part.column(1), np.asarray(part.column(2))))
+                found, offset, length = index.find(key_hashes(part.column(1), np.asarray(part.column(3))))
                 offset, length = np.where(found, offset, 0), np.where(found, length, 0)
                 ids = _payloads(path, k, width, offset, length)
                 crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in ids]
@@ -321,12 +329,14 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                     names=["key", "number", "found", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    dealt = keys.select("key", F.col("number").cast("long")).mapInArrow(deal, f"shard int, key {kind}, number long")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard"))
+    dealt = keys.select("key", F.col("number").cast("long")).mapInArrow(deal, f"shard int, key {kind}, number long, own long")
+    dealt = dealt.repartitionById(max([0, *starts]) + 1, F.col("shard"))
     return dealt.mapInArrow(read, f"key {kind}, number long, found boolean, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def keys_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(key, number) of every row: repeated keys are numbered from 0."""
     counts = docs.groupBy(F.col(f"`{id_col}`").alias("key")).agg(F.count("*").alias("n"))
-    return counts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("number"))
+    blocks = counts.select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / NUMBERS))).alias("block"))
+    first = F.col("block") * NUMBERS
+    return blocks.select("key", F.explode(F.sequence(first, F.least(first + NUMBERS, F.col("n")) - 1)).alias("number"))

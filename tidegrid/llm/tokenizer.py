@@ -13,10 +13,10 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .words import Words, span_hashes
+from .words import Words, numbered, span_hashes
 
 #: Words that a worker's cache holds before it starts anew.
-CACHE = 400_000
+CACHE = 800_000
 #: Id appended to every document.
 END = 1
 
@@ -50,6 +50,11 @@ class Encoder:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in many(texts, add_special_tokens=False)]
 
+    @property
+    def width(self) -> int:
+        """Bytes that any id of the vocabulary fits in: 2 or 4."""
+        return 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the offsets of each (one more than texts). Null counts as empty."""
         w = Words(texts, lower=True)
@@ -71,7 +76,7 @@ class Encoder:
             e2[at[two]] -= 1
             s2[at[two] + 1] = e[two] - 1
             s, e, owner = s2, e2, np.repeat(owner, reps)
-        found, first, back = np.unique(span_hashes(w.buf, s, e), return_index=True, return_inverse=True)
+        found, first, back = numbered(span_hashes(w.buf, s, e))
         if len(self.place) + len(found) > CACHE:
             self.clear()
         keys = found.tolist()

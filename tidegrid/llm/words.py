@@ -139,6 +139,16 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct values, a place of each, and the number of each element's value."""
+    order = np.argsort(x)
+    ascending = x[order]
+    new = np.r_[np.ones(min(1, len(x)), bool), ascending[1:] != ascending[:-1]]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ascending[new], order[new], back
+
+
 def chunks(batches, columns_bytes: str, limit: int = 4 << 20):
     """Regroup Arrow batches so that each carries about ``limit`` text bytes at most (or one row)."""
     for b in batches:
