@@ -138,6 +138,27 @@ def test_ngram_join(docs):
     assert got == {i: (n[i], comp[i]) for i in range(len(n))}
 
 
+def test_ngram_join_of_many_unmerged_groups(docs, monkeypatch):
+    """Without rounds, all pairs of the last step decide."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    test_ngram_join(docs)
+
+
+def test_ngram_join_oracle(spark, tmp_path):
+    import duckdb
+
+    from tidegrid.llm.queries import ORACLE_SQL
+
+    base = [" ".join(f"w{i * 40 + k}" for k in range(24)) for i in range(5)]
+    texts = [*base, *(t.replace(" ", c, 3) for t in base for c in "\r\x0b\x0c\t\n"), *(t + " tail\x1cend" for t in base), base[0].upper(), "a\rb", "a b", None, "", "\r\n"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(db.execute(f"SELECT doc_id, n_shingles, component_id FROM ({ORACLE_SQL['op10_ngram_jaccard_join']})").fetchall())
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect())) == want
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

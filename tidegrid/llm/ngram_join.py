@@ -198,6 +198,13 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
+def _runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of rows that are equal in all columns starts."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
 # --- pruning by shingles that one class alone has ------------------------------------------
 
 
@@ -420,7 +427,7 @@ def _pairs(whole: bool, turn: int, sketched: bool):
             owner = np.repeat(back, np.concatenate([p[1] for p in parts]))
             items = np.concatenate([p[3] for p in parts])
             rank = _priority(sid, turn)
-            order = np.lexsort((rank[owner], items))
+            order = np.lexsort((rank[owner], comp[owner], items) if whole else (rank[owner], items))
             items, owner = items[order], owner[order]
             keep = np.r_[True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])]
             items, owner = items[keep], owner[keep]
@@ -437,23 +444,21 @@ def _pairs(whole: bool, turn: int, sketched: bool):
                 if len(active):
                     yield pa.record_batch([pa.array(_signed(active)), pa.nulls(len(active), pa.int64()), pa.array(np.zeros(len(active), np.int64))], names=["a", "b", "hits"])
                 continue
-            # by distance within a run: each step pairs every row with the d-th after it
-            d, held, rows = 1, [], 0
-            alive = np.flatnonzero(length > d)
-            while len(alive):
-                for k in range(0, len(alive), 50_000):
-                    some = alive[k : k + 50_000]
-                    reps = length[some] - d
-                    base = np.repeat(start[some] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-                    held.append((owner[base], owner[base + d]))
-                    rows += len(base)
-                    if rows > HELD:
-                        found.add(*(np.concatenate(x) for x in zip(*held)))
-                        held, rows = [], 0
-                d += 1
-                alive = alive[length[alive] > d]
-            if rows:
-                found.add(*(np.concatenate(x) for x in zip(*held)))
+            # within a run rows lie by component: each is paired with those after its component's, so that
+            # what the rounds have merged costs nothing
+            of = comp[owner]
+            inner = _runs_of(items, of)
+            after = np.repeat(np.r_[inner[1:], len(items)], np.diff(np.r_[inner, len(items)]))
+            reps = np.repeat(start + length, length) - after
+            some = np.flatnonzero(reps)
+            done = np.cumsum(reps[some])
+            k = 0
+            while k < len(some):
+                z = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + HELD, side="right")))
+                one, n = some[k:z], reps[some[k:z]]
+                other = np.repeat(after[one] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                found.add(np.repeat(owner[one], n), owner[other])
+                k = z
             n = len(sid)
             yield _pair_batch(sid[found.code // n], sid[found.code % n], found.hits)
 

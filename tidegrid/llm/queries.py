@@ -119,8 +119,7 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """,
     "op10_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ 	-
-]+') AS ws FROM documents),
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
