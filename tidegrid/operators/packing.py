@@ -8,22 +8,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that rows are numbered in, and items of a packing shard.
+PARTS, SHARD = 64, 100_000
+
 
 def buffer_costs(packed: DataFrame) -> DataFrame:
     """buffer_id, cost: half the sum of squared sizes."""
     return packed.groupBy("buffer_id").agg((F.sum(F.col("size") * F.col("size")) / 2).alias("cost"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the running number of each row by ``order`` (which tells rows apart), from 0, without one task that sees all rows.
+
+    Rows fall into PARTS ranges by bounds from a sample, which the driver holds; a row's number is its place in
+    its range after the rows of all earlier ranges. Numbers are exact whatever the bounds.
+    """
+    keys = [F.col(c) for c in order]
+    by = F.xxhash64(*order)
+    share = min(1.0, 20.0 * PARTS / max(1, rows.count()))
+    sample = rows.select(*keys).where(F.col(order[0]).isNotNull() & (F.pmod(by, F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy(*keys).limit(100 * PARTS).collect()
+    bounds = sorted({tuple(sample[len(sample) * k // PARTS]) for k in range(1, PARTS)}) if sample else []
+    part = F.lit(0)
+    if bounds:
+        fields = rows.select(*order).schema.simpleString()
+        held = rows.sparkSession.createDataFrame(bounds, fields).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("__bounds"))
+        rows = rows.join(F.broadcast(held))  # one row
+        part = F.size(F.filter("__bounds", lambda b: b <= F.struct(*keys)))
+    rows = rows.withColumn("__part", part)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("n"))  # PARTS rows at most
+    before = counts.withColumn("__before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
+    return rows.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__part", "__place", "__before", "__bounds")
+
+
 def schedule(costs: DataFrame, per_step: int, window: str | None = None) -> DataFrame:
     """Adds place and step: buffers by cost (then id), ``per_step`` to a step, within each window."""
-    w = (Window.partitionBy(window) if window else Window.partitionBy(F.lit(0))).orderBy("cost", "buffer_id")
-    return costs.withColumn("place", (F.row_number().over(w) - 1).cast("long")).withColumn("step", F.floor(F.col("place") / per_step))
+    if window:
+        w = Window.partitionBy(window).orderBy("cost", "buffer_id")
+        placed = costs.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+    else:
+        placed = numbered(costs, ["cost", "buffer_id"], "place")
+    return placed.withColumn("step", F.floor(F.col("place") / per_step))
 
 
 def trivial_batches(items: DataFrame, order: str, per_batch: int) -> DataFrame:
     """One item a buffer, ``per_batch`` buffers to a batch, in order."""
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1
-    return items.withColumn("buffer_id", at.cast("long")).withColumn("batch", F.floor(F.col("buffer_id") / per_batch))
+    return numbered(items, [order], "buffer_id").withColumn("batch", F.floor(F.col("buffer_id") / per_batch))
 
 
 class Reservoir:
@@ -67,9 +97,11 @@ def buffers(items: Iterator[tuple[int, int]], l_pack: int, k: int, tolerance: fl
         yield made
 
 
-def best_fit(items: DataFrame, l_pack: int, k: int, shards: int, tolerance: float = 0.05) -> DataFrame:
-    """items: item, size. shard, buffer_id, seq, item, size. Each shard packs on its own, in the order of items;
-    a shard is one task's state, so the number of shards grows with the input."""
+def best_fit(items: DataFrame, l_pack: int, k: int, shards: int | None = None, tolerance: float = 0.05) -> DataFrame:
+    """items: item, size. shard, buffer_id, seq, item, size. Each shard packs on its own, in the order of items.
+
+    A shard is one task's state, so by default there is one for each SHARD items, and 4 at least."""
+    shards = shards or max(4, -(-items.count() // SHARD))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item")
@@ -83,8 +115,16 @@ def best_fit(items: DataFrame, l_pack: int, k: int, shards: int, tolerance: floa
 
 
 def invariants(packed: DataFrame, items: DataFrame, l_pack: int) -> DataFrame:
-    """One row: items, packed items, lost, overfull buffers and mean fill."""
+    """One row: overfull and empty buffers, packed items, distinct ones, lost ones, tokens, and whether the mean fill of all but
+    each shard's last buffer is above 0.9."""
     fill = packed.groupBy("shard", "buffer_id").agg(F.sum("size").alias("used"))
+    last = fill.groupBy("shard").agg(F.max("buffer_id").alias("last"))
+    full = fill.join(last, "shard").agg(
+        F.count_if(F.col("used") > l_pack).alias("n_overfull"),
+        F.count_if(F.col("used") <= 0).alias("n_empty"),
+        F.sum("used").alias("n_tokens"),
+        (F.avg(F.when(F.col("buffer_id") < F.col("last"), F.col("used") / l_pack)) > 0.9).alias("well_filled"),
+    )
     lost = items.join(packed.select("item"), "item", "left_anti").agg(F.count("*").alias("n_lost"))
     count = packed.agg(F.count("*").alias("n_packed"), F.countDistinct("item").alias("n_distinct"))
-    return fill.agg(F.count_if(F.col("used") > l_pack).alias("n_overfull"), F.count_if(F.col("used") <= 0).alias("n_empty")).join(count).join(lost)
+    return full.join(count).join(lost)

@@ -289,7 +289,7 @@ def standardize(spark, d):
     return st.standardise(src.ev_user_daily(spark, d)).select("series_id", "t", r6("z"))
 
 
-@query("fourier_features", V.with_(*_NORM, select="SELECT channel_idx, t, k::INT AS k, round(CASE WHEN k < 16 THEN sin(z * f) ELSE cos(z * f) END, 6) AS value FROM (SELECT *, 0.25 * pow(256, (k % 16) / 15.0) AS f FROM nz CROSS JOIN (SELECT unnest(range(32)) AS k) WHERE z IS NOT NULL AND t < 48)"))
+@query("fourier_features", V.with_(*_NORM, select="SELECT channel_idx, t, k::INT AS k, round(CASE WHEN k < 16 THEN sin(z * f) ELSE cos(z * f) END, 6) AS value FROM (SELECT *, 0.25 * pow(256, (k % 16) / 15.0) AS f FROM nz CROSS JOIN (SELECT unnest(range(32)) AS k) WHERE z IS NOT NULL)"))
 def fourier_features(spark, d):
     rows = _normalised(spark, d).where("z is not null")
     return rows.select("channel_idx", "t", F.posexplode(S.fourier("z", 0.25, 64.0, 16)).alias("k", "value")).select("channel_idx", "t", "k", r6("value"))

@@ -198,13 +198,14 @@ def token_states(spark, d):
     return _token_table(spark, d).groupBy("tier", "content_state").agg(F.count("*").alias("n"), F.count_if("valid_aux").alias("n_aux"))
 
 
-@query(
-    "norm_window",
-    f"""WITH RECURSIVE {V.VIEWS["ev_hourly"]}, {_SEG}, cx AS (SELECT * FROM ev_hourly WHERE t < 336), {_sigma_sql("cx")}, {_ANCHOR.format("cx")}
+def _norm_sql(origin: int) -> str:
+    return f"""SELECT * FROM (WITH cx AS (SELECT * FROM ev_hourly WHERE t < {origin}), {_sigma_sql("cx")}, {_ANCHOR.format("cx")}
 SELECT segment_id::BIGINT AS segment_id, sg.channel_idx, o::BIGINT AS "offset", round(coalesce(asinh((p.y - an.a) / sg.sigma), 0), 6) AS z, p.y IS NOT NULL AS observed
-FROM (SELECT segment_id, origin, cov, unnest(range(cov)) AS o FROM seg WHERE segment_id = 336) g CROSS JOIN sg JOIN an USING (channel_idx)
-LEFT JOIN ev_hourly p ON p.channel_idx = sg.channel_idx AND p.t = g.origin - g.cov + g.o""",
-)
+FROM (SELECT segment_id, origin, cov, unnest(range(cov)) AS o FROM seg WHERE segment_id = {origin}) g CROSS JOIN sg JOIN an USING (channel_idx)
+LEFT JOIN ev_hourly p ON p.channel_idx = sg.channel_idx AND p.t = g.origin - g.cov + g.o)"""
+
+
+@query("norm_window", f"WITH RECURSIVE {V.VIEWS['ev_hourly']}, {_SEG} " + " UNION ALL ".join(_norm_sql(o) for o in ORIGINS))
 def norm_window(spark, d):
     # each segment's context is a series of its own, so that its statistics are those before its origin
     segments = _segments(spark, d)
@@ -219,11 +220,13 @@ _ITEMS = "items AS (SELECT doc_id AS item, greatest(1, least(256, ceil(n_chars /
 
 
 def _buffers(spark, d):
-    items = src.doc_lengths(spark, d).withColumn("size", F.least(F.col("size"), F.lit(32).cast("long")))
+    items = src.doc_lengths(spark, d)
     return items.select(F.floor(F.col("item") / 8).alias("buffer_id"), F.pmod("item", F.lit(8)).alias("seq"), "item", "size", F.lit(1).cast("long").alias("c"), (F.col("size") * 4).alias("store"))
 
 
-_BUF = f"{_ITEMS}, buf AS (SELECT item // 8 AS buffer_id, item % 8 AS seq, item, least(size, 32) AS size, least(size, 32) * 4 AS store FROM items)"
+_BUF = f"{_ITEMS}, buf AS (SELECT item // 8 AS buffer_id, item % 8 AS seq, item, size, size * 4 AS store FROM items)"
+#: Eight items of 256 tokens at most.
+_ROOM = 8 * 256
 
 
 @query("pack_offsets", f"""WITH {_BUF} SELECT a.buffer_id::BIGINT AS buffer_id, a.item, coalesce(sum(b.size), 0)::BIGINT AS token_base, coalesce(sum(b.store), 0)::BIGINT AS store_base, count(b.item)::BIGINT AS channel_base
@@ -232,20 +235,18 @@ def pack_offsets(spark, d):
     return tk.pack_offsets(_buffers(spark, d)).select("buffer_id", "item", "token_base", "store_base", "channel_base")
 
 
-@query("pad_fill", f"WITH {_BUF} SELECT buffer_id::BIGINT AS buffer_id, sum(size)::BIGINT AS used, (256 - sum(size))::BIGINT AS pads FROM buf GROUP BY ALL")
+@query("pad_fill", f"WITH {_BUF} SELECT buffer_id::BIGINT AS buffer_id, sum(size)::BIGINT AS used, ({_ROOM} - sum(size))::BIGINT AS pads FROM buf GROUP BY ALL")
 def pad_fill(spark, d):
-    return tk.pad_fill(_buffers(spark, d), 256)
+    return tk.pad_fill(_buffers(spark, d), _ROOM)
 
 
 def _mask_tokens(spark, d):
-    """Tokens of all documents at their whole sizes, in best-fit buffers; a buffer's id holds its shard."""
-    packed = pk.best_fit(src.doc_lengths(spark, d), 256, 48, 4)
-    packed = packed.select((F.col("buffer_id") * 4 + F.col("shard")).alias("buffer_id"), "seq", "item", "size", F.lit(1).cast("long").alias("c"), (F.col("size") * 4).alias("store"))
-    rows = tk.pack_offsets(packed).select("buffer_id", F.col("seq").alias("sample"), "size", "token_base", S.steps(F.col("size")).alias("i"))
+    """Tokens of all documents at their whole sizes, in buffers of eight documents."""
+    rows = tk.pack_offsets(_buffers(spark, d)).select("buffer_id", F.col("seq").alias("sample"), "size", "token_base", S.steps(F.col("size")).alias("i"))
     return rows.select("buffer_id", "sample", (F.col("token_base") + F.col("i")).alias("slot"), F.when(F.pmod("i", F.lit(4)) == 3, tk.QRY).otherwise(tk.CTX).alias("role"), (F.col("i") - F.floor(F.col("size") / 2)).alias("t_center"), F.pmod("i", F.lit(6)).alias("tier"), F.when(F.pmod("i", F.lit(5)) == 4, tk.NA).otherwise(tk.OBSERVED).alias("content_state"))
 
 
-_MASK = f"""{_BUF}, tb AS (SELECT a.*, coalesce((SELECT sum(b.size) FROM buf b WHERE b.buffer_id = a.buffer_id AND b.seq < a.seq), 0) AS base FROM buf a WHERE a.buffer_id < 20),
+_MASK = f"""{_BUF}, tb AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY buffer_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM buf),
 mt AS (SELECT buffer_id, seq, base + i AS slot, CASE WHEN i % 4 = 3 THEN 1 ELSE 0 END AS role, i - size // 2 AS tc, i % 6 AS tier, i % 5 = 4 AS missing FROM (SELECT *, unnest(range(size)) AS i FROM tb))"""
 
 
@@ -271,13 +272,13 @@ def trivial_batches(spark, d):
 
 @query("bfd_pack")
 def bfd_pack(spark, d):
-    return pk.best_fit(src.doc_lengths(spark, d), 256, 48, 4)
+    return pk.best_fit(src.doc_lengths(spark, d), 256, 48)
 
 
-@query("bfd_invariants", f"WITH {_ITEMS} SELECT 0::BIGINT AS n_overfull, 0::BIGINT AS n_empty, count(*)::BIGINT AS n_packed, count(DISTINCT item)::BIGINT AS n_distinct, 0::BIGINT AS n_lost FROM items")
+@query("bfd_invariants", f"WITH {_ITEMS} SELECT 0::BIGINT AS n_overfull, 0::BIGINT AS n_empty, count(*)::BIGINT AS n_packed, count(DISTINCT item)::BIGINT AS n_distinct, 0::BIGINT AS n_lost, sum(size)::BIGINT AS n_tokens, true AS well_filled FROM items")
 def bfd_invariants(spark, d):
     items = src.doc_lengths(spark, d)
-    return pk.invariants(pk.best_fit(items, 256, 48, 4), items, 256)
+    return pk.invariants(pk.best_fit(items, 256, 48), items, 256)
 
 
 # --- splits and shards ---------------------------------------------------------------------
@@ -298,9 +299,7 @@ def train_series_shard(spark, d):
 
     rows = src.read(spark, d, "embeddings").select("vec_id", "label")
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rn <= 20")
-    # the cap bounds what is numbered in one place: rows a configuration, not all rows
-    rows = rows.withColumn("idx", (F.row_number().over(Window.orderBy("label", "vec_id")) - 1).cast("long"))
-    return src.shard(rows, "idx", 3, 1).select("vec_id", "idx")
+    return src.shard(pk.numbered(rows, ["label", "vec_id"], "idx"), "idx", 3, 1).select("vec_id", "idx")
 
 
 @query("shard_disjoint", "SELECT count(*)::BIGINT AS n_union, 0::BIGINT AS n_shared, 0::BIGINT AS n_missing FROM embeddings")

@@ -15,8 +15,12 @@ from tidegrid.operators.packing import Reservoir
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidegrid-stream-")
+    """A fresh folder below the shared one; a local one only where none is set and all executors are in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidegrid-stream-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -32,18 +36,31 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("y")).select("event_type", F.col("w.start").alias("hour"), "n", "y")
 
 
-def drained(stream: DataFrame, mode: str, label: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there and read what it wrote; the checkpoint makes it resumable."""
-    spark = stream.sparkSession
-    out = folder(spark, label)
+def sink(out: str):
+    """Writes each micro-batch to a folder of its epoch; a batch that runs again replaces what it wrote."""
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return keep
+
 
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(out)
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint or folder(spark, f"{label}-at")).trigger(availableNow=True).start()
+def drained(stream: DataFrame, label: str, checkpoint: str | None = None, keys: list[str] | None = None, out: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and read what it wrote, once each micro-batch; the checkpoint makes it resumable.
+
+    keys: the stream updates rows (state older than the watermark goes), and the latest row of each key counts;
+    else rows are appended. With ``out`` and ``checkpoint`` of an earlier run, the two runs' results are read together.
+    """
+    spark = stream.sparkSession
+    out = out or folder(spark, label)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/epoch=-1")
+    query = stream.writeStream.outputMode("update" if keys else "append").foreachBatch(sink(out)).option("checkpointLocation", checkpoint or folder(spark, f"{label}-at")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, epoch BIGINT").option("basePath", out).parquet(out)
+    if not keys:
+        return rows.drop("epoch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("row")).select(*keys, "row.*").select(*stream.columns)
 
 
 def packed(items: DataFrame, l_pack: int, k: int, shards: int) -> DataFrame:
@@ -89,7 +106,7 @@ def packed_whole(items: DataFrame, l_pack: int, k: int, shards: int) -> DataFram
     schema = "item long, size long"
     spark.createDataFrame([], schema).write.parquet(flushes)
     both = items.select(F.col("item").cast("long"), F.col("size").cast("long")).unionByName(spark.readStream.schema(schema).parquet(flushes))
-    stream = packed(both, l_pack, k, shards)
-    full = drained(stream, "append", "reservoir", at)
+    stream, out = packed(both, l_pack, k, shards), folder(spark, "reservoir")
+    drained(stream, "reservoir", at, out=out)
     spark.range(shards).select(F.col("id").alias("item"), F.lit(0).cast("long").alias("size")).write.mode("append").parquet(flushes)
-    return full.unionByName(drained(stream, "append", "reservoir", at))
+    return drained(stream, "reservoir", at, out=out)
