@@ -15,15 +15,15 @@ A lookup takes the shard by its first key, the slot by at most LEVELS probes, an
 compares the fingerprint, so a key that isn't there is told as missing.
 
 Files are written under a name of their own and then renamed, so a task that runs
-again, or twice, leaves the same files. Ids are encoded once, into a table in the shared
-folder; there is a shard for each SHARD_IDS of them, so shards and indexes stay as large
-as they are however many documents there are. Documents are dealt to shards by Spark's
-ranges of (key, hash of the ids, place in that table); the last two part rows that repeat
-a key, which may fill several shards. Ids, not texts, are shuffled.
+again, or twice, leaves the same files. There is a shard for each SHARD_BYTES of text, so
+shards and indexes stay as large as they are however many documents there are. Documents
+are dealt to shards by ranges of (key, hash of the text) taken from a sample of SAMPLE rows
+a shard; the hash parts rows that repeat a key, which may fill several shards (rows equal in
+key and text lie in one). Ids, not texts, are shuffled.
 
 Defined results: null or empty text has the end id alone; a null key sorts first;
 rows that repeat a key are all kept, told apart by their number among equals
-(by a hash of their ids); an empty table gives a store without shards. A vocabulary
+(by a hash of their texts); an empty table gives a store without shards. A vocabulary
 above what 2 bytes hold takes 4.
 """
 
@@ -37,17 +37,16 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut, prepare
+from .store import prepare
 from .tokenizer import END, encoder
 from .words import U64, chunks, mix, span_hashes
 
 LEVELS = 32
-#: Ids aimed at in a shard, and the bytes read from a payload at once.
-SHARD_IDS, READ = 32 << 20, 8 << 20
+#: Bytes of text aimed at in a shard, rows sampled for each shard's bounds, and the bytes read from a payload at once.
+SHARD_BYTES, SAMPLE, READ = 256 << 20, 20, 8 << 20
 #: Numbers of a repeated key that are made in one row's sequence at most.
 NUMBERS = 10_000
 
@@ -201,19 +200,34 @@ class _Shard:
         return {"shard": self.k, "first": self.first, "last": self.last, "tail": self.number + 1, "docs": len(lengths), "ids": int(lengths.sum())}
 
 
+def _ranked(key) -> tuple:
+    """A key's place: null before all others."""
+    return (key is not None, key if key is not None else 0)
+
+
+def _bounds(rows: DataFrame, shards: int) -> list[tuple]:
+    """Ascending (*_ranked(key), hash) that part about equal numbers of rows; about SAMPLE * shards sampled rows reach the driver."""
+    share = SAMPLE * shards / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("key", "hash"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    # rows equal in key and hash lie in one shard whatever the bounds
+    found = sorted({(*_ranked(k), h) for k, h in rows.distinct().limit(4 * SAMPLE * shards).collect()})
+    return sorted({found[len(found) * k // shards] for k in range(1, shards)}) if found else []
+
+
 class Deal:
     """The shard of a key and its number among equals, from each shard's first key and the rows of that key before it."""
 
     def __init__(self, shards: list[dict]):
         self.shard = [s["shard"] for s in shards]
-        self.begin = [((s["first"] is not None, s["first"] if s["first"] is not None else 0), s["before"]) for s in shards]
+        self.begin = [(_ranked(s["first"]), s["before"]) for s in shards]
 
     def __call__(self, keys: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(shard, number within the shard) of each key; a shard all the same where there is no such key."""
         at = np.zeros(len(keys), np.int32)
         own = np.asarray(numbers, np.int64).copy()
         for i, (key, number) in enumerate(zip(keys.to_pylist(), own.tolist())):
-            whole = (key is not None, key if key is not None else 0)
+            whole = _ranked(key)
             k = max(0, bisect_right(self.begin, (whole, number)) - 1)
             if self.begin[k][0] == whole:
                 own[i] -= self.begin[k][1]
@@ -229,8 +243,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     width = width or least
     if width < least:
         raise ValueError(f"ids of this vocabulary take {least} bytes")
-    keyed = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
     kind = keyed.schema["key"].dataType.simpleString()
+    key_type = keyed.select("key").limit(0).toArrow().schema.field(0).type
+    if shards is None:
+        size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    bounds = _bounds(keyed.select("key", "hash"), shards)
     fs, at = _fs(path)
     fs.create_dir(at, recursive=True)
 
@@ -240,25 +259,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             ids, off = own.encode_ended(b.column("text"))
             raw = ids.astype(f"<u{width}").tobytes()
             cuts = [raw[width * off[i] : width * off[i + 1]] for i in range(b.num_rows)]
-            yield pa.record_batch([b.column("key"), pa.array(cuts, pa.binary())], names=["key", "ids"])
+            shard = [bisect_right(bounds, (*_ranked(k), h)) for k, h in zip(b.column("key").to_pylist(), b.column("hash").to_pylist())]
+            yield pa.record_batch([pa.array(shard, pa.int32()), b.column("key"), b.column("hash"), pa.array(cuts, pa.binary())], names=["shard", "key", "hash", "ids"])
 
     def store(batches):
         now, done = None, []
         for b in batches:
-            if b.num_rows:
-                now = now or _Shard(path, TaskContext.get().partitionId(), width)
-                now.add(b.column(0), b.column(1).to_pylist())
+            shard = np.asarray(b.column(0))
+            cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)] if len(shard) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if now is None or now.k != shard[i]:
+                    if now:
+                        done.append(now.close())
+                    now = _Shard(path, int(shard[i]), width)
+                now.add(b.column(1).slice(i, j - i), b.column(2).slice(i, j - i).to_pylist())
         if now:
             done.append(now.close())
         yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int32()), ("first", key_type), ("last", key_type), ("tail", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    key_type = keyed.select("key").limit(0).toArrow().schema.field(0).type
-    made = cut(keyed.mapInArrow(encode, f"key {kind}, ids binary").withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()}), "ids")
-    if shards is None:
-        total = made.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // width
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_IDS))
-    order = [F.asc_nulls_first("key"), F.col("hash"), F.col("place")]
-    dealt = made.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "ids")
+    ids = keyed.mapInArrow(encode, f"shard int, key {kind}, hash long, ids binary")
+    dealt = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("key"), "hash", "ids").select("shard", "key", "ids")
     rows = sorted((r.asDict() for r in dealt.mapInArrow(store, f"shard int, first {kind}, last {kind}, tail long, docs long, ids long").collect()), key=lambda r: r["shard"])
     start, before, last = 0, 0, None
     for k, r in enumerate(rows):
