@@ -75,10 +75,10 @@ def rollout_forecast(spark, d):
 
 
 @query(
-    "kff_counterfactual",
+    "visible_future",
     V.with_("ev_hourly", select="SELECT channel_idx, count(CASE WHEN t < 672 THEN y END)::BIGINT AS past_only, count(CASE WHEN t < 672 OR (t < 720 AND channel_idx < 2) THEN y END)::BIGINT AS with_future FROM ev_hourly GROUP BY ALL"),
 )
-def kff_counterfactual(spark, d):
+def visible_future(spark, d):
     """What a forecaster may see of each channel: the context alone, and with the features' future revealed."""
     seen = (F.col("t") < EV.origin) | ((F.col("t") < EV.origin + EV.p) & (F.col("channel_idx") < 2))
     return src.ev_hourly(spark, d).groupBy("channel_idx").agg(F.count(F.when(F.col("t") < EV.origin, F.col("y"))).alias("past_only"), F.count(F.when(seen, F.col("y"))).alias("with_future"))
