@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import case_queries, forecast_queries, generator_queries, model_queries, scoring_queries, segment_queries, stream_queries
+from .plans import assembly_queries, case_queries, forecast_queries, generator_queries, model_queries, scoring_queries, segment_queries, stream_queries
 
-_PARTS = [scoring_queries, segment_queries, generator_queries, case_queries, forecast_queries, model_queries, stream_queries]
+_PARTS = [scoring_queries, segment_queries, assembly_queries, generator_queries, case_queries, forecast_queries, model_queries, stream_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

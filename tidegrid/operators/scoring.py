@@ -62,3 +62,13 @@ def scalars(report: DataFrame, prefix: str) -> DataFrame:
     numbers = [c for c, t in report.dtypes if t in ("double", "float", "int", "bigint")]
     rows = report.select([F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], numbers, "key", "value")
     return rows.where("value is not null and not isnan(value)").select(F.concat(F.lit(prefix + "/"), "key").alias("key"), "value")
+
+
+def keyed_sample(items: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """``n`` items without replacement, by the md5 of seed and key: the same whatever the layout."""
+    return items.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
+def item_counts(points: DataFrame) -> DataFrame:
+    """config_id, n_items, n_channels, n_values."""
+    return points.groupBy("config_id").agg(F.countDistinct("series_id").alias("n_items"), F.countDistinct("series_id", "channel_idx").alias("n_channels"), F.count("y").alias("n_values"))
