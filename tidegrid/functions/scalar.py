@@ -52,8 +52,10 @@ def fed_back(x) -> Column:
 
 
 def gmean(x) -> Column:
-    """Geometric mean with a floor; NaN on nothing, poisoned by NaN and infinity."""
-    return F.coalesce(F.exp(F.avg(F.log(F.greatest(col(x), F.lit(GMEAN_FLOOR))))), F.lit(float("nan")))
+    """Geometric mean with a floor; nulls don't count, NaN on nothing, poisoned by NaN and infinity."""
+    x = col(x)
+    held = F.when(x.isNotNull(), F.greatest(x, F.lit(GMEAN_FLOOR)))  # greatest alone would pass over a null
+    return F.coalesce(F.exp(F.avg(F.log(held))), F.lit(float("nan")))
 
 
 def skill(model, naive) -> Column:

@@ -293,6 +293,19 @@ def rolling_windows(spark, d):
     return out.select("config_id", "term", "w", F.col("p").cast("int").alias("p"), F.col("origin").cast("long").alias("origin"))
 
 
+@query(
+    "window_rows",
+    V.with_("ord_segment", select="""SELECT series_id || '/' || term AS config_id, w::BIGINT AS w, CASE WHEN t < origin THEN 'context' ELSE 'label' END AS part, count(*)::BIGINT AS n, round(sum(y), 2) AS total, max(CASE WHEN t >= origin THEN t - origin END)::BIGINT AS last_h
+FROM ord_segment JOIN (SELECT term, w, 4 * times AS p, 343 - (3 - w) * 4 * times AS origin FROM (VALUES ('short', 1), ('medium', 10), ('long', 15)) v(term, times) CROSS JOIN (SELECT unnest(range(2)) AS w)) x ON t < origin + p GROUP BY ALL"""),
+)
+def window_rows(spark, d):
+    points = src.ord_segment(spark, d).withColumnRenamed("series_id", "config_id")
+    meta = points.groupBy("config_id").agg(F.count("*").alias("n")).withColumn("p", F.lit(4))
+    rows = src.window_rows(points, src.rolling_windows(meta, 3, TERMS), 2)
+    named = rows.withColumn("config_id", F.concat_ws("/", "config_id", "term"))
+    return named.groupBy("config_id", "w", "part").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"), F.max("h").cast("long").alias("last_h"))
+
+
 @query("train_series_shard", "SELECT vec_id, gi AS idx FROM (SELECT vec_id, rn, row_number() OVER (ORDER BY label, vec_id) - 1 AS gi FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 20) WHERE gi % 3 = 1")
 def train_series_shard(spark, d):
     from pyspark.sql import Window

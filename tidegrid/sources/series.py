@@ -138,6 +138,19 @@ def rolling_windows(meta: DataFrame, windows: int, terms: dict[str, int]) -> Dat
     return rows.withColumn("origin", F.col("n") - (windows - F.col("w")) * F.col("p")).where("origin >= 2").select("config_id", "term", "w", "p", "origin")
 
 
+def window_rows(points: DataFrame, windows: DataFrame, first: int | None = None) -> DataFrame:
+    """config_id, term, w, channel_idx, part (context, label), t, h, y: the rows of each test window.
+
+    points: config_id, channel_idx, t, y. windows: config_id, term, w, p, origin. ``first``: only so many windows of a
+    configuration and term, the earliest.
+    """
+    if first is not None:
+        windows = windows.where(F.col("w") < first)
+    rows = points.join(windows, "config_id").where(F.col("t") < F.col("origin") + F.col("p"))
+    ahead = F.col("t") - F.col("origin")
+    return rows.select("config_id", "term", "w", "channel_idx", F.when(ahead < 0, "context").otherwise("label").alias("part"), "t", F.when(ahead >= 0, ahead).alias("h"), "y")
+
+
 def violations(points: DataFrame) -> DataFrame:
     """Rows that break the contract: a null key, a negative step, a repeated cell."""
     bad = points.where("series_id is null or channel_idx is null or t is null or channel_idx < 0 or t < 0").select("series_id", "channel_idx", "t", F.lit("key").alias("problem"))
