@@ -311,7 +311,7 @@ def test_token_store_repeated_null_and_text_keys(spark):
 
 def test_token_store_parts_a_key_over_shards(spark, monkeypatch):
     monkeypatch.setattr(token_store, "NUMBERS", 7)
-    rows = [(7, f"text {i % 5}") for i in range(300)] + [(i, f"t{i}") for i in range(5)] + [(None, "n")] * 40 + [(9, "last")]
+    rows = [(7, f"text {i % 100}") for i in range(300)] + [(i, f"t{i}") for i in range(5)] + [(None, "n")] * 40 + [(9, "last")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     path = scratch(spark, "test-store")
     manifest = token_store.write(docs, path, public_path(), shards=12)
@@ -321,7 +321,7 @@ def test_token_store_parts_a_key_over_shards(spark, monkeypatch):
     assert {(r.key, r.number) for r in got if not r.found} == {(7, 300), (8, 0), (None, 40)}
     found = sorted((r.start, r.n_tokens) for r in got if r.found)
     assert len(found) == len(rows) and all(a + n == b for (a, n), (b, _) in zip(found, found[1:]))
-    want = sorted(tuple(x) for x in _ids([f"text {i}" for i in range(5)]) * 60)
+    want = sorted(tuple(x) for x in _ids([f"text {i}" for i in range(100)]) * 3)
     assert sorted(tuple(np.frombuffer(bytes(r.ids), "<u2").tolist()) for r in got if r.key == 7 and r.found) == want
     with pytest.raises(ValueError):
         token_store.write(docs, path, public_path(), width=1)
