@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -51,17 +52,20 @@ def sines(g: DataFrame) -> DataFrame:
 
 
 def autoregressive(g: DataFrame) -> DataFrame:
-    """AR(2) with coefficients that keep their absolute sum at 0.95 or below; folded over each series' array."""
+    """AR(2) with coefficients that keep their absolute sum at 0.95 or below; one pass over each series."""
     a, b = between(-1, 1, "c1"), between(-1, 1, "c2")
     scale = F.least(F.lit(1.0), 0.95 / F.greatest(F.abs(a) + F.abs(b), F.lit(1e-9)))
-    rows = g.withColumns({"e": noise(), "a": a * scale, "b": b * scale}).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("t", "e", "a", "b"))).alias("es"))
-    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.array().cast("array<double>").alias("ys"))
 
-    def step(s, e):
-        y = e["a"] * s["p"] + e["b"] * s["q"] + e["e"]
-        return F.struct(y.alias("p"), s["p"].alias("q"), F.concat(s["ys"], F.array(y)).alias("ys"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        near = far = 0.0
+        y = []
+        for e, p, q in zip(rows["e"].tolist(), rows["a"].tolist(), rows["b"].tolist()):
+            near, far = p * near + q * far + e, near
+            y.append(near)
+        return pd.DataFrame({"idx": rows["idx"], "t": rows["t"], "y": y})
 
-    return rows.select("idx", F.posexplode(F.aggregate("es", zero, step, lambda s: s["ys"])).alias("t", "y")).withColumn("t", F.col("t").cast("long"))
+    return g.withColumns({"e": noise(), "a": a * scale, "b": b * scale}).groupBy("idx").applyInPandas(run, "idx long, t long, y double")
 
 
 def intermittent(g: DataFrame, rate: float = 0.1) -> DataFrame:

@@ -295,6 +295,12 @@ def fourier_features(spark, d):
     return rows.select("channel_idx", "t", F.posexplode(S.fourier("z", 0.25, 64.0, 16)).alias("k", "value")).select("channel_idx", "t", "k", r6("value"))
 
 
+@query("time_features", "SELECT t::BIGINT AS t, k::INT AS k, round(CASE WHEN k < 32 THEN sin(t * f) ELSE cos(t * f) END, 6) AS value FROM (SELECT t, k, 0.001::DOUBLE * pow(1000, (k % 32) / 31.0) AS f FROM (SELECT unnest(range(720)) AS t) CROSS JOIN (SELECT unnest(range(64)) AS k))")
+def time_features(spark, d):
+    """The 32 frequencies of time, over every hour of the month."""
+    return spark.range(720).select(F.col("id").alias("t")).select("t", F.posexplode(S.fourier("t", 1e-3, 1.0, 32)).alias("k", "value")).select("t", "k", r6("value"))
+
+
 @query("masked_mae", V.with_(*_parts("ev_hourly", EV, False), select="SELECT l.channel_idx, round(sum(CASE WHEN l.y IS NOT NULL THEN abs(fc.yhat - l.y) ELSE 0 END) / greatest(count(l.y), 1), 6) AS mae FROM ev_hourly l JOIN fc ON fc.channel_idx = l.channel_idx AND fc.h = l.t - 672 WHERE l.t >= 672 GROUP BY ALL"))
 def masked_mae(spark, d):
     from tidegrid.operators import losses
