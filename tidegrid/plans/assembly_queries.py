@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import text as tx
 from tidegrid.operators import assembly as asm
+from tidegrid.operators import network as nw
 from tidegrid.operators import packing as pk
 from tidegrid.operators import scoring as sc
 from tidegrid.sources import series as src
+from tidegrid.sources.durable import written
 
 from . import segment_queries as sq
 from . import views_sql as V
@@ -35,8 +37,8 @@ _HEAD = f"WITH RECURSIVE {V.VIEWS['ev_hourly']}, {sq._SEG}, {_CSTATS}"
 
 
 def _assembled(spark, d):
-    points, segments = src.ev_hourly(spark, d), sq._segments(spark, d)
-    return points, segments, asm.context_stats(segments, points)
+    points, segments = written(src.ev_hourly(spark, d), "points"), sq._segments(spark, d)
+    return points, segments, written(asm.context_stats(segments, points), "stats")
 
 
 @query("context_stats", f"{_HEAD} SELECT segment_id::BIGINT AS segment_id, channel_idx, round(a, 6) AS a, round(sigma, 6) AS sigma FROM cst")
@@ -78,6 +80,28 @@ def global_target(spark, d):
     return rows.select("channel_idx", (F.col("t") - EV.origin).alias("h"), F.round("z", 6).alias("target"))
 
 
+def _network_tokens(spark, d):
+    points, segments, stats = _assembled(spark, d)
+    tokens = written(sq._token_table(spark, d), "tokens")
+    return written(nw.segment_tokens(tokens, asm.patches(tokens, segments, asm.store(segments, points, stats)), stats), "network")
+
+
+@query("network_shapes", f"""WITH RECURSIVE {sq._tokens_sql(False)} SELECT segment_id::BIGINT AS segment_id, pos::BIGINT AS slot, CASE WHEN role = 1 THEN 16 END::BIGINT AS horizon, CASE WHEN role = 0 THEN ([4, 8, 16, 64, 256, 512])[tier + 1] END::BIGINT AS aux, true AS finite FROM tok""")
+def network_shapes(spark, d):
+    """What every token of every segment predicts: a horizon for query tokens, the next patch for the others."""
+    rows = nw.outputs(_network_tokens(spark, d), nw.Network(), "segment_id")
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(c)
+    finite = F.forall(F.coalesce("horizon", "aux"), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.select("segment_id", "slot", size("horizon"), size("aux"), finite.alias("finite"))
+
+
+@query("network_forecast")
+def network_forecast(spark, d):
+    rows = nw.forecast(_network_tokens(spark, d), nw.Network())
+    steps = rows.select("segment_id", "channel_idx", "j", F.posexplode("values").alias("i", "yhat"))
+    return steps.select("segment_id", "channel_idx", (F.col("j") * 16 + F.col("i")).alias("h"), r6("yhat"))
+
+
 # --- buffers -------------------------------------------------------------------------------
 
 _PACKED = f"""WITH {sq._BUF}, pl AS (SELECT *, coalesce(sum(size) OVER w, 0) AS tb, coalesce(sum(store) OVER w, 0) AS sb, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) - 1 AS sample

@@ -11,6 +11,7 @@ from tidegrid.operators import stats as st
 from tidegrid.operators import telescope as ts
 from tidegrid.operators import tokens as tk
 from tidegrid.sources import series as src
+from tidegrid.sources.durable import written
 
 from . import views_sql as V
 from .scoring_queries import _ANCHOR, _sigma_sql, r6
@@ -95,7 +96,8 @@ def _segments(spark, d):
     """Crops of ev_hourly at three origins."""
     items = spark.range(1).select(F.explode(F.array(*[F.lit(o).cast("long") for o in ORIGINS])).alias("origin"))
     items = items.select(F.col("origin").alias("segment_id"), F.lit("ev_hourly").alias("series_id"), F.lit(2).alias("n_features"), F.lit(3).alias("n_targets"), "origin", F.lit(48).cast("long").alias("p"))
-    return sg.eval_spec(items, PARAMS)
+    # a row a segment, which many joins read and whose expressions are long
+    return written(sg.eval_spec(items, PARAMS), "segments")
 
 
 _SEG = f"""{_TIER}, {_DEFAULT}, so AS (SELECT o AS id, o AS origin, least((SELECT cov FROM cv WHERE n = 49), o) AS t FROM (SELECT unnest([336, 504, 672]) AS o)),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,16 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegrid.operators.packing import Reservoir
-
-
-def folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one; a local one only where none is set and all executors are in this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidegrid-stream-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from tidegrid.sources.durable import folder
 
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
