@@ -202,6 +202,8 @@ def test_decontamination(spark, docs, monkeypatch, limits):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontamination.mark(docs, bench, keep=["doc_id", "kept"]).collect()}
     assert got == dict(enumerate(_decontaminate(texts, items)))
+    kept = [r.doc_id for r in decontamination.clean(docs, bench).collect()]
+    assert sorted(kept) == sorted(i for i, r in got.items() if not r[3])
     assert decontamination.mark(docs, bench.where("false")).where("contaminated or n_hit > 0").count() == 0
 
 

@@ -35,8 +35,9 @@ BROADCAST_WINDOWS = 100_000
 #: Occurrences of a token in one part of the shuffled join.
 PART = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words before lower-casing: the complement of separators, with A-Z inside.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words before lower-casing: all but ASCII characters that are neither letters nor digits. Written by what is in it:
+#: the regex engine looks such a class up, where it tries the ranges of a complement one by one.
+WORD = r"[\p{Alnum}\x{80}-\x{10FFFF}]+"
 
 
 def _lower(word: Column) -> Column:
@@ -57,17 +58,17 @@ def item_windows(bench: DataFrame, item_col: str, text_col: str, size: int = WIN
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(k1, k2, spans, windows) of each document text with a match.
+    """(k1, k2, n_words, spans, windows) of each document text with a match.
 
-    k1, k2: hashes of the row's id and text; spans: distinct (start, end) in words;
-    windows: hashes of the windows met.
+    k1, k2: hashes of the row's id and text; n_words: its words; spans: distinct (start, end)
+    in words; windows: hashes of the windows met.
     """
     text = F.col(f"`{text_col}`")
     windows = cut(item_windows(bench, item_col, bench_text_col, size).select("words", "n").distinct().withColumn("window", F.xxhash64("words")), "windows")
     vocabulary = windows.select(F.explode("words").alias("w")).distinct()
     seen = docs.select(F.explode_outer(_words(text)).alias("raw")).select(_lower(F.col("raw")).alias("w"))
     if vocabulary.count() <= BROADCAST_ROWS:
-        counts = seen.join(F.broadcast(vocabulary), "w").groupBy("w").agg(F.count("*").alias("c"))
+        counts = F.broadcast(seen.join(F.broadcast(vocabulary), "w").groupBy("w").agg(F.count("*").alias("c")))
     else:
         counts = seen.groupBy("w").agg(F.count("*").alias("c")).join(vocabulary, "w")
     ranked = windows.select("window", "n", "words", F.posexplode("words").alias("off", "w")).join(counts, "w")
@@ -88,10 +89,10 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
         room = (begin >= 0) & (begin + F.col("wn") <= n_words)
         return room, _lower(F.array_join(F.slice(words, F.greatest(begin - base + 1, F.lit(1)), F.col("wn")), " ")) == F.col("whole")
 
-    out = ["k1", "k2", "window", begin.alias("start"), (begin + F.col("wn")).alias("stop")]
+    out = ["k1", "k2", "window", "n_words", begin.alias("start"), (begin + F.col("wn")).alias("stop")]
     if prefix.count() <= BROADCAST_WINDOWS:
         room, same = met(F.col("ws"), F.lit(0), F.size("ws"))
-        hits = at.join(F.broadcast(prefix), "token").where(room).where(same).select(*out)
+        hits = at.join(F.broadcast(prefix), "token").where(room).where(same).withColumn("n_words", F.size("ws")).select(*out)
     else:
         dealt = prefix.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
         tokens = dealt.select("token", "parts").distinct()
@@ -105,7 +106,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
         copies = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         room, same = met(F.col("near"), F.col("base"), F.col("n_words"))
         hits = candidates.join(copies, ["token", "part"]).where(room).where(same).select(*out)
-    return hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.collect_set("window").alias("windows"))
+    return hits.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.collect_set("window").alias("windows"))
 
 
 def _covered(spans: Column) -> Column:
@@ -118,11 +119,21 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated: as by ``mark``, but words are counted for rows with a hit only."""
+    hits = find_hits(docs, bench, id_col, text_col, item_col, bench_text_col, size)
+    bad = cut(hits.where(20 * _covered(F.col("spans")) >= F.col("n_words")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    text = F.col(f"`{text_col}`")
+    same = (F.xxhash64(F.col(f"`{id_col}`"), text) == F.col("__k1")) & (F.hash(text, F.lit(1)) == F.col("__k2"))
+    return docs.join(bad, same, "left_anti")
+
+
 def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", size: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row, with n_words, n_hit, items (sorted ids as strings) and contaminated."""
     text = F.col(f"`{text_col}`")
     hits = find_hits(docs, bench, id_col, text_col, item_col, bench_text_col, size)
-    hits = cut(hits, "hits")
+    hits = cut(hits.drop("n_words"), "hits")
     named = item_windows(bench, item_col, bench_text_col, size).select(F.xxhash64("words").alias("window"), "item").distinct()
     items = hits.select("k1", "k2", F.explode("windows").alias("window")).join(named, "window").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = hits.select("k1", "k2", _covered(F.col("spans")).alias("n_hit")).join(items, ["k1", "k2"], "left")
