@@ -18,12 +18,12 @@ VIEWS = {
     ON v.user_id = u.user_id AND v.t = g.t)""",
     "ev_user_hourly": """ev_user_hourly AS (
   SELECT u.user_id::VARCHAR AS series_id, 0 AS channel_idx, g.t::BIGINT AS t, v.y
-  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(48)) AS t) g
+  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(720)) AS t) g
   LEFT JOIN (SELECT user_id, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS t, avg(value) AS y FROM events GROUP BY ALL) v
     ON v.user_id = u.user_id AND v.t = g.t)""",
     "ev_user_counts": """ev_user_counts AS (
   SELECT u.user_id::VARCHAR AS series_id, 0 AS channel_idx, g.t::BIGINT AS t, coalesce(v.y, 0)::DOUBLE AS y
-  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(48)) AS t) g
+  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(720)) AS t) g
   LEFT JOIN (SELECT user_id, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS t, count(*) AS y FROM events GROUP BY ALL) v
     ON v.user_id = u.user_id AND v.t = g.t)""",
     "li_daily": """li_daily AS (

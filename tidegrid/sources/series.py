@@ -52,7 +52,7 @@ def ev_user_daily(spark, d) -> DataFrame:
 
 
 def ev_user_hourly(spark, d, counts: bool = False) -> DataFrame:
-    out = regularise(read(spark, d, "events"), ["user_id"], _hours("ts"), F.count("*") if counts else F.avg("value"), 48, 0.0 if counts else None)
+    out = regularise(read(spark, d, "events"), ["user_id"], _hours("ts"), F.count("*") if counts else F.avg("value"), 720, 0.0 if counts else None)
     return out.select(F.col("user_id").cast("string").alias("series_id"), F.lit(0).alias("channel_idx"), "t", "y")
 
 
