@@ -66,7 +66,7 @@ _SCORED = f"""sk AS (SELECT idx, CASE WHEN idx % 3 < 2 THEN m1 END AS model, CAS
 
 @query(
     "mase_report",
-    f"WITH {_DRIVEN}, {_FIT}, {_SCORED} SELECT round(m, 6) AS model_mase, round(v, 6) AS naive_mase, n, skipped, round(m / v, 6) AS skill FROM (SELECT exp(avg(ln(greatest(model, 1e-12)))) AS m, exp(avg(ln(greatest(naive, 1e-12)))) AS v, count(model)::BIGINT AS n, count_if(model IS NULL)::BIGINT AS skipped FROM sk)",
+    f"WITH {_DRIVEN}, {_FIT}, {_SCORED} SELECT round(m, 6) AS model_mase, round(v, 6) AS naive_mase, n, skipped, round(m / v, 6) AS skill FROM (SELECT exp(avg(CASE WHEN model IS NOT NULL THEN ln(greatest(model, 1e-12)) END)) AS m, exp(avg(CASE WHEN naive IS NOT NULL THEN ln(greatest(naive, 1e-12)) END)) AS v, count(model)::BIGINT AS n, count_if(model IS NULL)::BIGINT AS skipped FROM sk)",
 )
 def mase_report(spark, d):
     """Of all series, a third have no season: they are counted and not scored."""
