@@ -53,7 +53,7 @@ ORDER = len(MU) + 1
 END = U64(0x1F83D9ABFB41BD6B)
 BEGIN = U64(0x5BE0CD19137E2179)
 #: Tokens of a chunk, and items aimed at in a bucket.
-CHUNK, BUCKET = 1_000_000, 1_000_000
+CHUNK, BUCKET = 800_000, 800_000
 #: Tokens that one reader of a long text takes.
 SPAN = 512
 
@@ -378,6 +378,9 @@ def _scored(model: Model, kind: pa.DataType):
             grams = c.grams(model.order)
             totals, _ = c.totals(model.path, grams)
             own = Automaton(model, c, grams, totals)
+            del totals
+            for g in grams:  # the traversal needs places and suffixes only
+                g.keys = g.prefix = g.word = None
             known = np.add.reduceat(own.seen[0][c.tokens].astype(np.int64), c.starts)
             base = np.add.reduceat(own.arc[0][c.tokens], c.starts)
             score = np.add.reduceat(own.traverse(c), c.starts)
