@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.scalar import PATCH  # noqa: F401
-
-
 def masked_mae(error: Column, mask: Column) -> Column:
     """Sum of absolute errors under the mask by their number, at least 1."""
     return F.sum(F.when(mask, F.abs(error)).otherwise(0.0)) / F.greatest(F.count_if(mask), F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalar import PATCH
 from tidegrid.operators import forecast as fc
 from tidegrid.operators import losses, model
 from tidegrid.sources import series as src
@@ -43,11 +44,11 @@ ls AS (SELECT tp.tier, coalesce(sum(abs(z)), 0) / greatest(count(z), 1) AS loss
 def _aux(spark, d):
     """Loss by tier of predicting 0 for the patch after each whole patch of the context."""
     rows = _normalised(spark, d).where("t < 672").select("channel_idx", "t", "z")
-    tiers = F.explode(F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(p).alias("p")) for k, p in enumerate(losses.PATCH)]))
+    tiers = F.explode(F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(p).alias("p")) for k, p in enumerate(PATCH)]))
     at = rows.select("channel_idx", "t", tiers.alias("x")).select("channel_idx", "t", "x.*").where((F.floor(F.col("t") / F.col("p")) + 2) * F.col("p") <= 672)
     ahead = at.withColumn("t", F.col("t") + F.col("p")).join(rows, ["channel_idx", "t"], "left")
     by = ahead.groupBy("tier").agg(losses.masked_mae(F.coalesce("z", F.lit(0.0)), F.col("z").isNotNull()).alias("loss"))
-    every = spark.range(len(losses.PATCH)).select(F.col("id").cast("int").alias("tier"))
+    every = spark.range(len(PATCH)).select(F.col("id").cast("int").alias("tier"))
     return every.join(by, "tier", "left").select("tier", F.coalesce("loss", F.lit(0.0)).alias("loss"))
 
 

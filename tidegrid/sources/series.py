@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import steps
+from tidegrid.operators.packing import numbered
+
+#: Channels whose numbers are broadcast at most; a shuffled join serves beyond it.
+BROADCAST_CHANNELS = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +32,9 @@ def regularise(rows: DataFrame, keys: list[str], t: Column, value: Column, n: in
 
 
 def _channels(df: DataFrame, key: str) -> DataFrame:
-    """Channel numbers by the key's order; channels of a view are few by its definition."""
-    names = df.select(key).distinct().withColumn("channel_idx", (F.row_number().over(Window.orderBy(key)) - 1).cast("int"))
-    return df.join(F.broadcast(names), key)
+    """Channel numbers by the key's order."""
+    names = numbered(df.select(key).distinct(), [key], "channel_idx").withColumn("channel_idx", F.col("channel_idx").cast("int"))
+    return df.join(F.broadcast(names) if names.count() <= BROADCAST_CHANNELS else names, key)
 
 
 def _hours(ts: str) -> Column:
