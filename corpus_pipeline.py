@@ -51,7 +51,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @keeps_columns
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by a benchmark item."""
-    return decontamination.mark(docs, table(spark, sf_dir, "benchmark")).where("not contaminated")
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 @keeps_columns
