@@ -38,7 +38,7 @@ def features(text: Column) -> list[Column]:
     """Lexical measures of a whole text, all built in."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t) + 1
-    parts = F.split(t, r"[\x20\x09-\x0D]+")  # the words, and an empty part before or after them
+    parts = F.split(t, r"\s+")  # by space and 0x09-0x0D: the words, and an empty part before or after them
     edge = lambda k: (F.element_at(parts, k) == "").cast("int")
     words = F.greatest(F.lit(0), F.size(parts) - edge(1) - edge(-1)) + 1
     lines = n - F.length(F.translate(t, "\n", "")) + 1
