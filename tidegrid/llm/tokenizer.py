@@ -16,7 +16,7 @@ import pyarrow as pa
 from .words import Words, numbered, span_hashes
 
 #: Words that a worker's cache holds before it starts anew.
-CACHE = 400_000
+CACHE = 600_000
 #: Id appended to every document.
 END = 1
 
