@@ -9,9 +9,9 @@ combination is removed as often as its counts allow, so the work on the driver i
 bounded by the number of lengths, not of pieces.
 
 Pieces are numbered within their length without gathering a length in one task: a
-length of n pieces has cells for CELL or the root of n pieces each, pieces are dealt to its cells by a hash
-(of their place in the table of pieces too, so that copies part), cells are counted, and
-a piece's number is its place in its cell after all earlier cells. Numbers are looked
+length of n pieces has cells for CELL pieces each, or for a fourth of the root of n if
+that is more; pieces are dealt to its cells by a hash (of their place in the table of
+pieces too, so that copies part), cells are counted, and a piece's number is its place in its cell after all earlier cells. Numbers are looked
 up in the plan by binary search; the plan has one row for each length of each
 combination, so it doesn't grow with the input.
 
@@ -35,8 +35,8 @@ from .tokenizer import encoder
 from .words import chunks
 
 SIZE = 4096
-#: Pieces of a cell at least; of very many, the root, so that neither cells nor their number grow much.
-CELL = 500
+#: Pieces of a cell at least; of very many, a fourth of the root, so that neither cells nor their number grow much.
+CELL = 50
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     found = cut(pieces(docs, tokenizer, id_col, text_col, size).withColumn("spread", spread), "pieces")
     total = {r[0]: r[1] for r in found.groupBy("length").agg(F.count("*")).collect()}  # at most ``size`` rows
     rows = plan_rows(plan_bins(total, size))
-    cells = docs.sparkSession.createDataFrame([(k, -(-n // max(CELL, isqrt(n)))) for k, n in total.items()], "length long, cells long")
+    cells = docs.sparkSession.createDataFrame([(k, -(-n // max(CELL, isqrt(n) // 4))) for k, n in total.items()], "length long, cells long")
     dealt = found.join(F.broadcast(cells), "length").withColumn("cell", F.pmod("spread", "cells")).drop("spread", "cells")
     counts = dealt.groupBy("length", "cell").agg(F.count("*").alias("n"))
     # one row a cell, so a window over a length's cells is small beside its pieces
