@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import BROADCAST_ROWS, cut, prepare, release, spread_join
-from .words import U64, Words, chunks, mix, rolling
+from .words import U64, Words, chunks, lean, mix, rolling, trim
 
 SIZE = 5
 #: Share of shingles, by hash, that the first pruning looks at.
@@ -144,15 +144,16 @@ def _unpack(blob: bytes, width: int):
 
 
 def _send(items, owner, sids, extra, buckets):
-    """Rows (bucket, blob) of items, whose top bits choose the bucket."""
-    at = ((items >> U64(48)).astype(np.int64) * buckets) >> 16
-    order = np.lexsort((owner, at))
-    items, owner, at = items[order], owner[order], at[order]
-    cut_at = np.searchsorted(at, np.arange(buckets + 1))
+    """Rows (bucket, blob) of ascending items, whose top bits choose the bucket: top * buckets >> 16."""
+    least = -(-(np.arange(buckets + 1) << 16) // buckets)
+    cut_at = np.searchsorted(items >> U64(48), least.astype(U64))
     for k in np.flatnonzero(np.diff(cut_at)):
-        o = owner[cut_at[k] : cut_at[k + 1]]
-        own, counts = np.unique(o, return_counts=True)
-        yield int(k), _pack(sids[own], extra[own].tobytes(), counts, items[cut_at[k] : cut_at[k + 1]])
+        o, x = owner[cut_at[k] : cut_at[k + 1]], items[cut_at[k] : cut_at[k + 1]]
+        order = np.argsort(o, kind="stable")
+        o, x = o[order], x[order]
+        start = _runs(o)
+        own = o[start]
+        yield int(k), _pack(sids[own], extra[own].tobytes(), np.diff(np.r_[start, len(o)]), x)
 
 
 def _blob_batches(rows):
@@ -209,22 +210,26 @@ def _runs_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def _count_rows(sets, buckets: int):
-    """Of one task's distinct sets: counts of shingles shared here, and blobs of all its shingles."""
+    """Of one task's distinct sets: counts of shingles shared here, and blobs of all its shingles. Empties ``sets``."""
     sids = np.array([s for s, _ in sets], U64)
     items = np.concatenate([x for _, x in sets])
-    owner = np.repeat(np.arange(len(sets)), [len(x) for _, x in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for _, x in sets])
+    sets.clear()
     order = np.argsort(items)
     items, owner = items[order], owner[order]
+    del order
     start = _runs(items)
     length = np.diff(np.r_[start, len(items)])
     several = np.repeat(length > 1, length)
-    local = np.bincount(owner[several], minlength=len(sets))
+    local = np.bincount(owner[several], minlength=len(sids))
     some = np.flatnonzero(local)
     if len(some):
         yield int(sids[0] % U64(buckets)), 1, _pack(sids[some], b"", local[some], np.zeros(0, U64))
     # owner 0 stands for several
-    own = np.where(length > 1, 0, owner[start] + 1)
-    for k, blob in _send(items[start], own, np.r_[U64(0), sids], np.zeros((len(sids) + 1, 0), np.uint8), buckets):
+    owner = np.where(length > 1, np.int32(0), owner[start] + np.int32(1))
+    items = items[start]
+    del start, length, several
+    for k, blob in _send(items, owner, np.r_[U64(0), sids], np.zeros((len(sids) + 1, 0), np.uint8), buckets):
         yield k, 0, blob
 
 
@@ -241,6 +246,7 @@ def _shared_rows(source, buckets: int):
             if size > HELD:
                 yield from _count_rows(held, buckets)
                 seen, held, size = set(), [], 0
+                trim()
         if held:
             yield from _count_rows(held, buckets)
 
@@ -260,10 +266,12 @@ def _shared_counts(batches):
             else:
                 items.append(low)
                 sids.append(np.repeat(own, counts))
+        blobs.clear()
         if items:
             items, sids = np.concatenate(items), np.concatenate(sids)
             order = np.argsort(items)
             items, sids = items[order], sids[order]
+            del order
             start = _runs(items)
             lo, hi = np.minimum.reduceat(sids, start), np.maximum.reduceat(sids, start)
             shared = np.repeat((lo != hi) | (lo == 0), np.diff(np.r_[start, len(items)])) & (sids != 0)
@@ -275,7 +283,7 @@ def _shared_counts(batches):
 
 
 def _may_link(counts: DataFrame, classes: DataFrame, m: str) -> DataFrame:
-    found = counts.mapInArrow(_shared_counts, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
+    found = counts.mapInArrow(lean(_shared_counts), "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
     return classes.join(found, "sid", "left").where(F.coalesce("shared", F.lit(0)) >= F.col(m) - F.floor(F.col("n") / 4)).drop("shared")
 
 
@@ -360,33 +368,40 @@ def _signature_rows(buckets: int, whole: bool, turn: int, sketched: bool):
     def flush(held):
         sids = np.array([h[0] for h in held], U64)
         comp = np.array([h[1] for h in held], U64)
+        if not whole:  # by component, then by this round's order; the sort below keeps it
+            by = np.lexsort((_priority(sids, turn), comp))
+            held[:] = [held[i] for i in by.tolist()]
+            sids, comp = sids[by], comp[by]
         extra = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), FULL if sketched else BRIEF)
         items = np.concatenate([h[3] for h in held])
-        owner = np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(h[3]) for h in held])
+        held.clear()
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order]
+        del order
         if not whole:
-            rank = _priority(sids, turn)
-            order = np.lexsort((rank[owner], comp[owner], items))
-            items, owner = items[order], owner[order]
-            c = comp[owner]
+            c = np.cumsum(np.r_[False, comp[1:] != comp[:-1]], dtype=np.int32)[owner]
             first = np.r_[True, (items[1:] != items[:-1]) | (c[1:] != c[:-1])]
             items, owner = items[first], owner[first]
+            del c, first
         for k, blob in _send(items, owner, sids, extra, buckets):
             yield k, 0, blob
 
     def rows(batches):
         held, size, seen = [], 0, set()
         for b in batches:
-            for sid, comp, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for sid, comp, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if sid in seen:
                     continue
                 seen.add(sid)
-                s = mix(_long(blob))
+                s = mix(_long(blob.as_buffer()))
                 sig = np.unique(signatures(s))
                 held.append((sid & (2**64 - 1), comp & (2**64 - 1), _meta(comp & (2**64 - 1), s, sketched), sig))
                 size += len(sig)
                 if size > HELD:
                     yield from flush(held)
                     held, size, seen = [], 0, set()
+                    trim()
         if held:
             yield from flush(held)
 
@@ -521,7 +536,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    return left.join(right, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return left.join(right, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 # --- components ----------------------------------------------------------------------------
@@ -561,7 +576,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = text.schema["doc_id"].dataType.simpleString()
     hashed = text.withColumn("text_hash", F.xxhash64("text"))
-    members = cut(hashed.mapInArrow(_describe(SHARE, size), f"doc_id {kind}, n long, m long, sid long, `check` long, text_hash long"), "sets")
+    members = cut(hashed.mapInArrow(lean(_describe(SHARE, size)), f"doc_id {kind}, n long, m long, sid long, `check` long, text_hash long"), "sets")
     classes = members.where("n > 0").groupBy("sid", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("m").alias("m"))
     total = members.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
 
@@ -571,7 +586,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield _sid(s), _sampled(s, SHARE)
 
     buckets = max(64, -(-total // HELD))
-    blobs = text.select("text").mapInArrow(_shared_rows(first, buckets), BLOBS)
+    blobs = text.select("text").mapInArrow(lean(_shared_rows(first, buckets)), BLOBS)
     left = cut(_may_link(_bucketed(blobs), classes, "m"), "may-link")
     release(spark)
     n_left = left.count()
@@ -588,7 +603,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     small = left.select(F.col("doc_id").alias("rep"), "sid")
     small = F.broadcast(small) if n_left <= BROADCAST_ROWS else small
-    sets = cut(text.join(small, text["doc_id"].eqNullSafe(F.col("rep"))).select("sid", "text").mapInArrow(whole, "sid long, items binary"), "sets-left")
+    sets = cut(text.join(small, text["doc_id"].eqNullSafe(F.col("rep"))).select("sid", "text").mapInArrow(lean(whole), "sid long, items binary"), "sets-left")
     # a class may be met in several rows; one of them serves
     total = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -598,7 +613,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield sid & (2**64 - 1), mix(_long(blob.as_buffer()))
 
     buckets = max(64, -(-total // HELD))
-    left = _may_link(_bucketed(sets.mapInArrow(_shared_rows(again, buckets), BLOBS)), left, "n").select("sid")
+    left = _may_link(_bucketed(sets.mapInArrow(lean(_shared_rows(again, buckets)), BLOBS)), left, "n").select("sid")
     sets = cut(sets.join(left, "sid", "left_semi").groupBy("sid").agg(F.first("items").alias("items")), "sets-near")
     sized = sets.agg(F.coalesce(F.sum(F.length("items")), F.lit(0)), F.count("*")).first()
     links = spark.createDataFrame([], "a long, b long")
@@ -610,8 +625,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         # alive: sid and component of the classes that may still have links to other components
         own = sets.withColumn("comp", F.col("sid")) if alive is None else sets.join(F.broadcast(alive) if n_alive <= BROADCAST_ROWS else alive, "sid")
-        blobs = own.select("sid", "comp", "items").mapInArrow(_signature_rows(buckets, cross, turn, turn > 0), BLOBS)
-        met = _bucketed(blobs).mapInArrow(_pairs(cross, turn, turn > 0), "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+        blobs = own.select("sid", "comp", "items").mapInArrow(lean(_signature_rows(buckets, cross, turn, turn > 0)), BLOBS)
+        met = _bucketed(blobs).mapInArrow(lean(_pairs(cross, turn, turn > 0)), "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
         met = cut(met, "met")
         pairs = met.where("b is not null")
         if not cross:  # a class may have been met with other first classes elsewhere: the one met most

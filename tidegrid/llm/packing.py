@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .store import cut, prepare
 from .tokenizer import encoder
-from .words import chunks
+from .words import chunks, lean
 
 SIZE = 4096
 #: Pieces of a cell at least; of very many, a fourth of the root, so that neither cells nor their number grow much.
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, {PIECE}")
+    return keyed.mapInArrow(lean(run), f"doc_id {kind}, {PIECE}")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:

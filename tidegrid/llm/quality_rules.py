@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .crf import LinearChainCRF
 from .store import first_by_hash, prepare
-from .words import Words, chunks, mix, rolling, span_hashes, sums_between
+from .words import Words, chunks, lean, mix, rolling, span_hashes, sums_between
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
     # the broadcast side has 2 * train_docs rows at most, and an id gives one row
     one = text.join(F.broadcast(few), "id").groupBy("id").agg(F.first("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = one.select("quality", "text").mapInArrow(_learn_batches, FIT_SCHEMA).collect()
+    rows = one.select("quality", "text").mapInArrow(lean(_learn_batches), FIT_SCHEMA).collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["features"])))
     rows = [r for r in rows if r["features"]]
     if not rows:
@@ -205,4 +205,4 @@ def score(docs: DataFrame, crf: LinearChainCRF | None, text_col: str = "text", k
         for b in chunks(batches, "__text"):
             yield pa.record_batch([*b.columns[: len(keep)], *_judge(b.column("__text"), crf)], names=[*keep, *added])
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(lean(run), schema)

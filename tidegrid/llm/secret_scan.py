@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .crf import LinearChainCRF
 from .store import first_by_hash, prepare
-from .words import buffer_of, chunks
+from .words import buffer_of, chunks, lean
 
 # The patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     ids = first_by_hash(text, ["id"], train_docs)
     # the broadcast side has train_docs rows at most, and an id gives one text
     one = text.where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = one.select("text").mapInArrow(_learn, "x binary, y binary").collect()
+    rows = one.select("text").mapInArrow(lean(_learn), "x binary, y binary").collect()
     rows = sorted((bytes(r["y"]), bytes(r["x"])) for r in rows)
     ys = [np.frombuffer(y, np.int8) for y, _ in rows]
     if not any(y.any() for y in ys):
@@ -318,7 +318,7 @@ def scan(docs: DataFrame, crf: LinearChainCRF | None, text_col: str = "text", ke
                 columns[keep.index(text_col)] = pa.array([_redacted(t, s, redact) if s else t for t, s in zip(text.to_pylist(), found)], text.type)
             yield pa.record_batch([*columns, spans], names=[*keep, "spans"])
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(lean(run), schema)
 
 
 def _redacted(text: str, spans, mark: str) -> str:

@@ -9,6 +9,7 @@ as it is.
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from .words import Words, numbered, span_hashes
 
 #: Words that a worker's cache holds before it starts anew.
 CACHE = 600_000
+#: Words that are encoded at once; the library's result of a word takes far more memory than its ids.
+AT_ONCE = 4_000
 #: Id appended to every document.
 END = 1
 
@@ -30,21 +33,24 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of the words held, ascending
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        for h, ids in zip(hashes, self._encode(words)):
-            k, n = len(self.place), len(ids)
-            if k == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-            while self.used + n > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + n] = ids
-            self.start[k], self.length[k] = self.used, n
-            self.used += n
-            self.place[h] = k
+
+    def _add(self, at: np.ndarray, hashes: np.ndarray, words) -> None:
+        """words, which aren't held: their hashes ascending, and where these go in keys."""
+        length = np.empty(len(hashes), np.int64)
+        start = self.used
+        for k in range(0, len(hashes), AT_ONCE):
+            for i, ids in enumerate(self._encode(list(islice(words, AT_ONCE))), k):
+                n = length[i] = len(ids)
+                while self.used + n > len(self.ids):
+                    self.ids = np.resize(self.ids, 2 * len(self.ids))
+                self.ids[self.used : self.used + n] = ids
+                self.used += n
+        self.keys = np.insert(self.keys, at, hashes)
+        self.start = np.insert(self.start, at, start + np.cumsum(length) - length)
+        self.length = np.insert(self.length, at, length)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -77,15 +83,17 @@ class Encoder:
             s2[at[two] + 1] = e[two] - 1
             s, e, owner = s2, e2, np.repeat(owner, reps)
         found, first, back = numbered(span_hashes(w.buf, s, e))
-        if len(self.place) + len(found) > CACHE:
+        if len(self.keys) + len(found) > CACHE:
             self.clear()
-        keys = found.tolist()
-        missing = [k for k, h in enumerate(keys) if h not in self.place]
-        raw = w.buf.tobytes()
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
-            self._add([keys[i] for i in some], [raw[s[first[i]] : e[first[i]]].decode() for i in some])
-        place = np.fromiter((self.place[h] for h in keys), np.int64, len(keys))[back]
+        at = np.searchsorted(self.keys, found)
+        held = at < len(self.keys)
+        held[held] = self.keys[at[held]] == found[held]
+        missing = np.flatnonzero(~held)
+        if len(missing):
+            spans = zip(s[first[missing]].tolist(), e[first[missing]].tolist())
+            self._add(at[missing], found[missing], (w.buf[a:z].tobytes().decode() for a, z in spans))
+            at = np.searchsorted(self.keys, found)
+        place = at[back]
         length = self.length[place]
         total = int(length.sum())
         begin = np.cumsum(length) - length

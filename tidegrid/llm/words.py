@@ -7,6 +7,8 @@ over byte values, finished by a mixer.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +19,27 @@ _powers = np.ones(1, U64)
 BLOCK = 1 << 16
 
 
+def trim() -> None:
+    """Hand free memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run):
+    """A function of record batches that trims at its end: a worker lives on, beside others and the JVM."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return own
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values (a bijection)."""
     x = np.asarray(x, U64)
